@@ -11,44 +11,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BITS = 14
-_BLOCK = 8192
+_BITS = 21
+_BLOCK = 1 << 20
+_LOW = (1 << _BITS) - 1
 
 
-def chosen(text: Column, k: int = 8, window: int = 16) -> Column:
-    """array<struct<pos bigint, hash bigint>> of a text, by position (from 0). Null and empty texts give an empty array.
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _joined(offsets: range):
+    """Each element's least with the elements that many places further."""
+    return lambda a: F.transform(a, lambda x, i: F.least(x, *[F.get(a, i + j) for j in offsets]))
+
 
-    A text shorter than k is one gram; one with fewer than `window` grams is one window.
+def _minima(points: Column, n: Column, k: int, window: int, first: Column | None = None) -> Column:
+    """Per window of a text (its UTF-32 bytes and length) the least hash with its position, as one number.
+
+    The position, counted from `first`, stands in the low bits from the right: of equal hashes the rightmost is least.
     """
-    low = (1 << _BITS) - 1
-    text = F.coalesce(text, F.lit(""))
-    n = F.char_length(text)
     grams = F.greatest(F.lit(1), n - (k - 1))
+    first = F.lit(0) if first is None else first
+    keys = F.transform(F.sequence(F.lit(0), grams - 1), lambda i: F.xxhash64(F.substring(points, i * 4 + 1, 4 * k)).bitwiseAND(F.lit(~_LOW)).bitwiseOR((F.lit(_LOW) - first - i).cast("bigint")))
+    step = 1
+    while step < window:
+        # least() leaves out the nulls that get() gives beyond the end
+        times = min(4, window // step)
+        keys = _let(keys, _joined(range(step, step * times, step)))
+        step *= times
+    return F.slice(keys, 1, F.greatest(F.lit(1), grams - (window - 1)))
+
+
+def _blocks(text: Column, k: int, window: int) -> Column:
+    """All chosen numbers of a text longer than a block, with positions split off."""
+    n = F.char_length(text)
+    grams = n - (k - 1)
 
     def block(b: Column) -> Column:
         own = b * _BLOCK
         start = F.greatest(F.lit(0), own - (window - 1))
-        end = F.least(grams, own + _BLOCK + window - 1)
-        part = F.substring(text, start + 1, end - start + k - 1)
-        pieces = F.when(n < k, F.array(text)).otherwise(F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))
-        # the position in the low bits, from the right, makes the least of equal hashes the rightmost
-        keys = F.transform(pieces, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(low) - i.cast("bigint")))
-        count = end - start
-
-        def least(keys: Column) -> Column:
-            firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), count - (window - 1)))
-            return F.array_distinct(F.transform(firsts, lambda i: F.array_min(F.slice(keys, i, window))))
-
-        found = F.transform(_let(keys, least), lambda x: F.struct((F.lit(low) - x.bitwiseAND(F.lit(low)) + start).cast("bigint").alias("pos"), F.shiftright(x, _BITS).alias("hash")))
+        size = F.least(grams, own + _BLOCK + window - 1) - start + k - 1
+        found = _let(F.encode(F.substring(text, start + 1, size), "UTF-32"), lambda p: _split(F.array_distinct(_minima(p, size, k, window)), start))
         return F.filter(found, lambda x: (x["pos"] >= own) & (x["pos"] < own + _BLOCK))
 
-    blocks = F.sequence(F.lit(0), F.floor((grams - 1) / _BLOCK).cast("int"))
-    return F.when(n == 0, F.array().cast("array<struct<pos:bigint,hash:bigint>>")).otherwise(F.flatten(F.transform(blocks, block)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((grams - 1) / _BLOCK).cast("int")), block))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value computed once."""
-    return F.transform(F.array(value), use)[0]
+def _split(numbers: Column, start: Column | None = None) -> Column:
+    return F.transform(numbers, lambda x: F.struct((F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW)) + (F.lit(0) if start is None else start)).cast("bigint").alias("pos"), F.shiftright(x, _BITS).alias("hash")))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<pos:bigint,hash:bigint>>")
+
+
+def chosen(text: Column, k: int = 8, window: int = 16) -> Column:
+    """array<struct<pos bigint, hash bigint>> of a text, by position (from 0). Null and empty texts give an empty array.
+
+    A text shorter than k is one gram; one with fewer than `window` grams is one window. `window` is 1, 2 or a multiple of
+    4 that halves down to 1.
+    """
+    text = F.coalesce(text, F.lit(""))
+    n = F.char_length(text)
+    short = _let(F.encode(text, "UTF-32"), lambda p: _split(F.array_distinct(_minima(p, n, k, window))))
+    return F.when(n == 0, _none()).when(n <= _BLOCK, short).otherwise(_blocks(text, k, window))
+
+
+def chosen_twice(text: Column, edited: Column, same: Column, k: int = 8, window: int = 16) -> Column:
+    """struct<own, edited>: `chosen` of a text and of another that begins with the same `same` code points.
+
+    Windows inside the common beginning are taken over, not computed again.
+    """
+    n, m = F.char_length(text), F.char_length(edited)
+    taken = F.greatest(F.lit(0), same - (k + window - 2))
+    rest = F.when((taken > 0) & (m == same), F.array().cast("array<bigint>")).otherwise(
+        _let(F.encode(F.substring(edited, taken + 1, m), "UTF-32"), lambda p: _minima(p, m - taken, k, window, taken))
+    )
+    short = _let(
+        _let(F.encode(text, "UTF-32"), lambda p: _minima(p, n, k, window)),
+        lambda a: F.struct(_split(F.array_distinct(a)).alias("own"), F.when(m == 0, _none()).otherwise(_split(F.array_distinct(F.concat(F.slice(a, 1, taken), rest)))).alias("edited")),
+    )
+    apart = F.struct(chosen(text, k, window).alias("own"), chosen(edited, k, window).alias("edited"))
+    return F.when((n > 0) & (n <= _BLOCK), short).otherwise(apart)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,8 +153,9 @@ def edited_fingerprints(docs: DataFrame, k: int = 8, window: int = 16, id_col: s
     n = F.char_length(text)
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
-    rows = rows.select("id", text.alias("text"), "range", "guest", F.when(F.col("guest") == 0, edited).alias("edited"))
-    rows = rows.withColumn("fingerprint", chosen(F.col("text"), k, window)).withColumn("edited_fingerprint", F.when(F.col("guest") == 0, chosen(F.col("edited"), k, window)))
+    rows = rows.select("id", text.alias("text"), "range", "guest", edited.alias("edited"), (n - cut).alias("same"))
+    rows = rows.withColumn("both", chosen_twice(F.col("text"), F.col("edited"), F.col("same"), k, window))
+    rows = rows.select("*", F.col("both.own").alias("fingerprint"), F.col("both.edited").alias("edited_fingerprint")).drop("both")
     hashes = lambda c: F.array_distinct(F.transform(c, lambda x: x["hash"]))
     rows = rows.withColumn("own", hashes(F.col("fingerprint")))
     rows = rows.withColumn("next_own", F.lead("own").over(order)).filter("guest = 0")
