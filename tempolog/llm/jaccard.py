@@ -15,7 +15,8 @@ p/q bounds both. The join uses them from the outside in:
    its component already. Members of other components are joined recursively: more pivots are taken in the region, those
    of the smallest components first and four times as many in each round, and compared with the members of other
    components that the window |d(x, p) - d(y, p)| <= limit on the distances to the first pivot leaves. A region is done
-   when one component or no unexamined pair is left.
+   when one component or no unexamined pair is left. As similar classes share many regions, the first round works on the first
+   region of each class only, the second on four; what they link most often settles the others. All others follow.
 
 The parts that hold no shingle are equal too; m is raised so that e + 1 parts must agree, where more than e empty ones are
 rare, and only sets with more than e empty parts use those.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import checkpointed, slices, small_batches
+from .session import checkpointed, release, slices, small_batches
 from .textkit import U, encoded, gram_sets, mix, words
 
 _STEP = 4
@@ -117,13 +118,29 @@ def _signed(k: int):
     return run
 
 
-def _keyed(k: int, rings: Rings):
+def _alias(sig: bytes) -> int:
+    """A short name of a class in the regions; classes that share one are told apart later."""
+    return int.from_bytes(sig[:5], "big")
+
+
+def _posted(k: int, rings: Rings, remember: int = 1 << 18):
+    """(region, class) rows; the copies of a class in one task are posted once (as long as it is remembered)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for frame in slices(batches, "text", 2 << 20):
-            sets = _sets(frame["text"], k)
-            keys = rings.keys(sets)
-            keep = [i for i, x in enumerate(keys) if len(x)]
-            yield pd.DataFrame({"id": frame["id"].iloc[keep], "n": [len(sets[i]) for i in keep], "sig": [_signature(sets[i]) for i in keep], "keys": [keys[i].view(np.int64) for i in keep]})
+            fresh, names = [], []
+            for s in _sets(frame["text"], k):
+                sig = _signature(s)
+                if len(s) and sig not in seen:
+                    if len(seen) >= remember:
+                        seen.clear()
+                    seen.add(sig)
+                    fresh.append(s)
+                    names.append(_alias(sig))
+            keys = rings.keys(fresh)
+            if fresh:
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "alias": np.repeat(np.array(names, np.int64), [len(x) for x in keys])})
 
     return run
 
@@ -179,51 +196,73 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     signed = checkpointed(rows.mapInPandas(_signed(shingle), "id bigint, n bigint, sig binary"))
 
     # classes of equal sets in their regions; only regions with two classes or more go on
-    classes = rows.mapInPandas(_keyed(shingle, rings), "id bigint, n bigint, sig binary, keys array<bigint>").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    posted = classes.filter("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key"))
+    number = F.conv(F.substring(F.hex("sig"), 1, 10), 16, 10).cast("bigint")
+    classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n")).select("node", "n", number.alias("alias")))
     region = Window.partitionBy("key")
-    members = posted.select("*", F.min(F.struct("node", "n")).over(region).alias("first"), F.max("node").over(region).alias("last"))
-    members = checkpointed(members.filter("first.node < last").select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")).distinct())
+    posted = rows.filter("id IS NOT NULL").mapInPandas(_posted(shingle, rings), "key bigint, alias bigint")
+    shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
+    members = checkpointed(shared.join(classes, "alias").select("key", "node", "n"))
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    members = checkpointed(members.join(first, "key").select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    release(spark)
 
     involved = members.select("node").union(members.select("pivot")).distinct()
-    texts = checkpointed(rows.filter("id IS NOT NULL").withColumnRenamed("id", "node").join(involved, "node", "left_semi").distinct())
+    texts = checkpointed(rows.filter("id IS NOT NULL").withColumnRenamed("id", "node").join(involved, "node", "left_semi"))
 
     fits = lambda a, b: f"least({a}, {b}) * {q} >= greatest({a}, {b}) * {p}"
     pairs = members.filter("node <> pivot").filter(fits("n", "pivot_n")).select("node", "pivot").distinct()
     seen = checkpointed(_verified(texts, pairs, shingle))
-    linked = lambda: seen.filter(f"shared * {q} >= joint * {p}").select("node", "pivot").distinct()
-    labels = connected_components(linked(), "node", "pivot")
+    linked = lambda rows: rows.filter(f"shared * {q} >= joint * {p}").select("node", "pivot").distinct()
+    labels = connected_components(linked(seen), "node", "pivot")
 
     # the first pivot of a region is examined, the others remain; far: no pair to examine by size
     first = seen.groupBy("node", "pivot").agg(F.min(1 - F.col("shared") / F.col("joint")).alias("d0"), F.max(1 - F.col("shared") / F.col("joint")).alias("d1"))
     left = members.filter("node <> pivot").join(first, ["node", "pivot"], "left").select("key", "node", "n", "d0", "d1")
-    pivots_each = _STEP
+    pivots_each, regions_each = _STEP, 1
     while True:
         known = labels.select("node", F.col("component").alias("label"))
         left = left.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
         left = checkpointed(left.join(mixed, "key", "left_semi"))
+        release(spark)
         if left.isEmpty():
             break
-        share = left.groupBy("key", "label").agg(F.count("*").alias("size"))
-        ranked = left.join(share, ["key", "label"]).withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
+        now = left
+        if regions_each <= _STEP:
+            turn = left.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("key"))).filter(F.col("r") <= regions_each).select("key").distinct()
+            now = checkpointed(left.join(turn, "key", "left_semi"))
+        share = now.groupBy("key", "label").agg(F.count("*").alias("size"))
+        ranked = now.join(share, ["key", "label"]).withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
         order = [F.col("size"), F.col("node")]
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).filter(F.col("r") <= pivots_each)
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= pivots_each)
         chosen = checkpointed(ranked.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl")))
         window = (F.col("d0") - F.col("p1") <= float(1 - at_least) + 1e-9) & (F.col("p0") - F.col("d1") <= float(1 - at_least) + 1e-9)
-        pairs = left.join(chosen, "key").filter("label <> pl AND node <> pivot").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True)))
+        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True)))
         pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
         pairs = checkpointed(pairs.join(seen, ["node", "pivot"], "left_anti"))
         if not pairs.isEmpty():
-            seen = checkpointed(seen.union(_verified(texts, pairs, shingle)))
-            labels = connected_components(linked(), "node", "pivot")
+            fresh = checkpointed(_verified(texts, pairs, shingle))
+            seen = seen.union(fresh)
+            labels = _merged(labels, linked(fresh))
         left = left.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         pivots_each *= _STEP
+        regions_each *= _STEP
 
     return _placed(signed, labels)
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links between nodes, some of which have no label yet."""
+    mine = labels.select(F.col("node").alias("node"), F.col("component").alias("la"))
+    yours = labels.select(F.col("node").alias("pivot"), F.col("component").alias("lb"))
+    joined = links.join(mine, "node", "left").join(yours, "pivot", "left")
+    ends = checkpointed(joined.select("node", "pivot", F.coalesce("la", "node").alias("la"), F.coalesce("lb", "pivot").alias("lb")))
+    over = connected_components(ends, "la", "lb").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    nodes = labels.union(ends.select("node", "la")).union(ends.select("pivot", "lb")).distinct()
+    return checkpointed(nodes.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
 def _placed(signed: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row with the component of its class."""
     nodes = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -31,3 +32,9 @@ def slices(batches: Iterator[pd.DataFrame], text: str, limit: int = 4 << 20) ->
         size = frame[text].str.len().fillna(0).cumsum()
         for _, part in frame.groupby((size // limit).astype("int64"), sort=False):
             yield part
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of rows that nothing refers to any more, in the midst of a loop."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
