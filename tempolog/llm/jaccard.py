@@ -18,7 +18,8 @@ p/q bounds both. The join uses them from the outside in:
    when one component or no unexamined pair is left. As similar classes share many regions, the first round works on the first
    region of each class only, the second on four; what they link most often settles the others. All others follow.
 
-The parts that hold no shingle are equal too; m is raised so that e + 1 parts must agree, where more than e empty ones are
+Parities of 1024 hash cells of a set differ in at most |x ^ y| places; pairs that differ in more than a link allows aren't
+compared. The parts that hold no shingle are equal too; m is raised so that e + 1 parts must agree, where more than e empty ones are
 rare, and only sets with more than e empty parts use those.
 """
 
@@ -39,6 +40,7 @@ from .session import checkpointed, release, slices, small_batches
 from .textkit import U, encoded, gram_sets, mix, words
 
 _STEP = 4
+_WORDS = 16
 
 
 class Rings:
@@ -105,6 +107,11 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(s, 12) % U(64 * _WORDS)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts, k: int) -> list[np.ndarray]:
     return gram_sets(words(encoded(texts), lower=True), k)
 
@@ -113,7 +120,7 @@ def _signed(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(batches, "text"):
             sets = _sets(frame["text"], k)
-            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "sig": [_signature(s) for s in sets]})
+            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "sig": [_signature(s) for s in sets], "bits": [_parities(s) for s in sets]})
 
     return run
 
@@ -193,11 +200,11 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     p, q = at_least.numerator, at_least.denominator
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rings = Rings(p, q)
-    signed = checkpointed(rows.mapInPandas(_signed(shingle), "id bigint, n bigint, sig binary"))
+    signed = checkpointed(rows.mapInPandas(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
 
     # classes of equal sets in their regions; only regions with two classes or more go on
     number = F.conv(F.substring(F.hex("sig"), 1, 10), 16, 10).cast("bigint")
-    classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n")).select("node", "n", number.alias("alias")))
+    classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", number.alias("alias"), "bits"))
     region = Window.partitionBy("key")
     posted = rows.filter("id IS NOT NULL").mapInPandas(_posted(shingle, rings), "key bigint, alias bigint")
     shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
@@ -230,15 +237,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
         now = left
         if regions_each <= _STEP:
             turn = left.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("key"))).filter(F.col("r") <= regions_each).select("key").distinct()
-            now = checkpointed(left.join(turn, "key", "left_semi"))
+            now = left.join(turn, "key", "left_semi")
+        now = checkpointed(now.join(classes.select("node", "bits"), "node"))
         share = now.groupBy("key", "label").agg(F.count("*").alias("size"))
         ranked = now.join(share, ["key", "label"]).withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
         order = [F.col("size"), F.col("node")]
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).filter(F.col("r") <= pivots_each)
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= pivots_each)
-        chosen = checkpointed(ranked.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl")))
+        chosen = checkpointed(ranked.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl"), F.col("bits").alias("pb")))
         window = (F.col("d0") - F.col("p1") <= float(1 - at_least) + 1e-9) & (F.col("p0") - F.col("d1") <= float(1 - at_least) + 1e-9)
-        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True)))
+        apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pb")[i])) for i in range(_WORDS))
+        near = apart * (p + q) <= (F.col("n") + F.col("pn")) * (q - p)
+        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True))).filter(near)
         pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
         pairs = checkpointed(pairs.join(seen, ["node", "pivot"], "left_anti"))
         if not pairs.isEmpty():
