@@ -135,7 +135,7 @@ def _posted(k: int, rings: Rings, remember: int = 1 << 18):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
-        for frame in slices(batches, "text", 2 << 20):
+        for frame in slices(batches, "text", 1 << 20):
             fresh, names = [], []
             for s in _sets(frame["text"], k):
                 sig = _signature(s)
@@ -184,6 +184,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return rows.mapInPandas(_compared(k), "node bigint, pivot bigint, shared bigint, joint bigint")
 
 
+def _members(rows: DataFrame, classes: DataFrame, shingle: int, rings: Rings) -> DataFrame:
+    """The classes of all regions that have two or more, with the region's first pivot and its size."""
+    region = Window.partitionBy("key")
+    posted = rows.filter("id IS NOT NULL").mapInPandas(_posted(shingle, rings), "key bigint, alias bigint")
+    shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
+    named = shared.join(classes, "alias").select("key", "node", "n", F.min(F.struct("node", "n")).over(region).alias("first"))
+    return checkpointed(named.select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of `docs`, in no order.
 
@@ -202,19 +211,11 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     rings = Rings(p, q)
     signed = checkpointed(rows.mapInPandas(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
 
-    # classes of equal sets in their regions; only regions with two classes or more go on
     number = F.conv(F.substring(F.hex("sig"), 1, 10), 16, 10).cast("bigint")
     classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", number.alias("alias"), "bits"))
-    region = Window.partitionBy("key")
-    posted = rows.filter("id IS NOT NULL").mapInPandas(_posted(shingle, rings), "key bigint, alias bigint")
-    shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
-    members = checkpointed(shared.join(classes, "alias").select("key", "node", "n"))
-    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
-    members = checkpointed(members.join(first, "key").select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    members = _members(rows, classes.select("node", "n", "alias"), shingle, rings)
     release(spark)
-
-    involved = members.select("node").union(members.select("pivot")).distinct()
-    texts = checkpointed(rows.filter("id IS NOT NULL").withColumnRenamed("id", "node").join(involved, "node", "left_semi"))
+    texts = rows.filter("id IS NOT NULL").withColumnRenamed("id", "node")
 
     fits = lambda a, b: f"least({a}, {b}) * {q} >= greatest({a}, {b}) * {p}"
     pairs = members.filter("node <> pivot").filter(fits("n", "pivot_n")).select("node", "pivot").distinct()

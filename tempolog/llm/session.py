@@ -26,7 +26,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
-def slices(batches: Iterator[pd.DataFrame], text: str, limit: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pd.DataFrame], text: str, limit: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """The same rows in frames of about `limit` characters of text, a longer text alone in its frame."""
     for frame in batches:
         size = frame[text].str.len().fillna(0).cumsum()

@@ -22,7 +22,7 @@ PUNCT[[c for c in range(128) if chr(c).isalnum()]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text hashed at once; longer texts are cut at white space and put together again.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240)).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
