@@ -32,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -41,6 +41,7 @@ from .textkit import U, encoded, gram_sets, mix, words
 
 _STEP = 4
 _WORDS = 16
+_FEW = 20_000
 
 
 class Rings:
@@ -175,11 +176,14 @@ def _compared(k: int):
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact set sizes for the distinct (node, pivot) pairs. A pivot with many nodes is copied to several tasks."""
+    """Exact set sizes for the distinct (node, pivot) pairs. A pivot with many nodes is copied to several tasks. At most
+    `_FEW` pairs are broadcast to the texts; with more, the texts are shuffled once."""
+    few = pairs.count() <= _FEW
     load = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     dealt = pairs.join(load, "pivot").select("pivot", F.pmod(F.hash("node"), "salts").alias("salt"), "node")
     own = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("node"))
-    rows = texts.join(dealt.union(own), "node").select("pivot", "salt", "node", "text")
+    wanted = dealt.union(own)
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "node").select("pivot", "salt", "node", "text")
     rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node") != F.col("pivot"))
     return rows.mapInPandas(_compared(k), "node bigint, pivot bigint, shared bigint, joint bigint")
 
@@ -193,6 +197,14 @@ def _members(rows: DataFrame, classes: DataFrame, shingle: int, rings: Rings) ->
     return checkpointed(named.select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
 
 
+def _first_pairs(members: DataFrame, classes: DataFrame, fits: str, near: Column) -> DataFrame:
+    """The distinct pairs of a class and a region's first pivot that sizes and parities leave."""
+    pairs = members.filter("node <> pivot").filter(fits).select("node", "n", "pivot", "pivot_n").distinct()
+    own = classes.select("node", "bits")
+    pairs = pairs.join(own, "node").join(own.toDF("pivot", "pb"), "pivot").filter(near)
+    return checkpointed(pairs.select("node", "pivot"))
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of `docs`, in no order.
 
@@ -218,12 +230,15 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     texts = rows.filter("id IS NOT NULL").withColumnRenamed("id", "node")
 
     fits = lambda a, b: f"least({a}, {b}) * {q} >= greatest({a}, {b}) * {p}"
-    pairs = members.filter("node <> pivot").filter(fits("n", "pivot_n")).select("node", "pivot").distinct()
+    apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pb")[i])) for i in range(_WORDS))
+    near = lambda a, b: apart * (p + q) <= (F.col(a) + F.col(b)) * (q - p)
+    pairs = _first_pairs(members, classes, fits("n", "pivot_n"), near("n", "pivot_n"))
+    release(spark)
     seen = checkpointed(_verified(texts, pairs, shingle))
     linked = lambda rows: rows.filter(f"shared * {q} >= joint * {p}").select("node", "pivot").distinct()
     labels = connected_components(linked(seen), "node", "pivot")
 
-    # the first pivot of a region is examined, the others remain; far: no pair to examine by size
+    # the first pivot of a region is examined, the others remain; without a distance their sizes or parities were apart
     first = seen.groupBy("node", "pivot").agg(F.min(1 - F.col("shared") / F.col("joint")).alias("d0"), F.max(1 - F.col("shared") / F.col("joint")).alias("d1"))
     left = members.filter("node <> pivot").join(first, ["node", "pivot"], "left").select("key", "node", "n", "d0", "d1")
     pivots_each, regions_each = _STEP, 1
@@ -247,9 +262,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= pivots_each)
         chosen = checkpointed(ranked.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl"), F.col("bits").alias("pb")))
         window = (F.col("d0") - F.col("p1") <= float(1 - at_least) + 1e-9) & (F.col("p0") - F.col("d1") <= float(1 - at_least) + 1e-9)
-        apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pb")[i])) for i in range(_WORDS))
-        near = apart * (p + q) <= (F.col("n") + F.col("pn")) * (q - p)
-        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True))).filter(near)
+        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True))).filter(near("n", "pn"))
         pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
         pairs = checkpointed(pairs.join(seen, ["node", "pivot"], "left_anti"))
         if not pairs.isEmpty():
