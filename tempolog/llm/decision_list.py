@@ -124,7 +124,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_
     """
     clear = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).filter("y = z")
     picked = clear.select("id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).join(picked, "id")
+    # at most `rows` short rows, so their size is bounded whatever the input's
+    return docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 20_000, **options) -> list[Rule]:

@@ -108,14 +108,20 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", ratio: float = 2.2, path:
 
     Rows without spans stay as they are; no row goes.
     """
-    found = secret_spans(docs, "text", ratio, path)
+    small_batches(docs.sparkSession)
+    path = path or tokenizer_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = [_redacted(t, s, mark) if len(s) else t for t, s in zip(frame["text"], frame["spans"], strict=True)]
-            yield frame.drop(columns="spans").assign(text=texts, n_chars=[n if not len(s) else len(t) for t, s, n in zip(texts, frame["spans"], frame["n_chars"], strict=True)])
-
-    return found.mapInPandas(run, docs.schema)
+        for frame in slices(batches, "text"):
+            texts, sizes = [], []
+            for t, n in zip(frame["text"], frame["n_chars"], strict=True):
+                spans = [{"start": a, "end": b} for _, a, b in scan(t, path, ratio)] if isinstance(t, str) else []
+                t = _redacted(t, spans, mark) if spans else t
+                texts.append(t)
+                sizes.append(len(t) if spans else n)
+            yield frame.assign(text=texts, n_chars=sizes)
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

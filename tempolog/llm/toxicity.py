@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier over hashed words.
 
 Features are the presence of words and of word beginnings (ASCII letters lower-cased; white space and ASCII punctuation
-separate words), hashed. Counts over all labelled training rows choose the most telling ones; a bounded sample of rows fits
-the weights by logistic regression. For sentences that name a group, the same sentence with the terms swapped is scored
+separate words), hashed. A bounded sample of labelled rows chooses the most telling ones and fits their weights by logistic
+regression. For sentences that name a group, the same sentence with the terms swapped is scored
 too, and the loss adds the squared difference of the two scores, so that a neutral mention carries no weight of its own.
 """
 
@@ -122,19 +122,22 @@ def _sampled(chosen: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", features: int = 4096, sample: int = 20_000, penalty: float = 1.0) -> Model:
     """A model from the labelled rows of `docs` (columns id_col and text; labels: id_col and toxic).
 
-    Labels that are null, or repeat an id with other values, are left out, as are null ids. All labelled rows choose the
-    `features` most telling features (3.5 standard errors at least); at most `sample` rows, those with the least hashes of their ids, fit the weights.
+    Labels that are null, or repeat an id with other values, are left out, as are null ids. At most
+    `sample` labelled rows, those with the least hashes of their ids, choose the `features` most telling features (3.5
+    standard errors at least) and fit the weights.
     With labels of one class only or none, every text gets the same score.
     """
     spark = docs.sparkSession
     small_batches(spark)
     clear = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).filter("y = z").select("id", F.col("y").cast("int").alias("y"))
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(clear, "id")
-    size = clear.groupBy("y").agg(F.count("*").alias("n")).toPandas().set_index("y")["n"].to_dict()
-    toxic, clean = size.get(1, 0), size.get(0, 0)
+    # at most `sample` short rows, so their size is bounded whatever the input's
+    picked = clear.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    toxic, clean = int((picked["y"] == 1).sum()), int((picked["y"] == 0).sum())
     if not toxic or not clean:
         return Model(np.zeros(DIMS, np.float32), 20.0 if toxic and not clean else -20.0 if clean else 0.0)
+    wanted = F.broadcast(spark.createDataFrame(picked, "id bigint, y int"))
+    rows = text.join(wanted, "id")
     counts = rows.mapInPandas(_counted, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # how far the feature's share among toxic rows lies from its share among clean ones, in standard errors
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
@@ -142,8 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", features:
     best = counts.filter("toxic + clean >= 3").select("feature", gap.alias("gap")).filter("gap >= 3.5").orderBy(F.desc("gap"), "feature").limit(features).toPandas()
     chosen = np.zeros(DIMS, bool)
     chosen[best["feature"].to_numpy(np.int64)] = True
-    picked = clear.orderBy(F.xxhash64("id"), "id").limit(sample)
-    got = text.join(picked, "id").mapInPandas(_sampled(chosen), "id bigint, y int, feats array<bigint>, gaps array<bigint>").toPandas().sort_values("id", kind="stable").reset_index(drop=True)
+    got = rows.mapInPandas(_sampled(chosen), "id bigint, y int, feats array<bigint>, gaps array<bigint>").toPandas().sort_values("id", kind="stable").reset_index(drop=True)
     at = np.flatnonzero(chosen)
     strength = np.zeros(DIMS)
     strength[best["feature"].to_numpy(np.int64)] = best["gap"].to_numpy(float)

@@ -142,7 +142,7 @@ def weak_quality(docs: DataFrame, sample: int = 8_000, keep: float = 0.5) -> Dat
 
     table = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, model.posterior(patterns), strict=True)], ", ".join(f"{n} tinyint" for n in names) + ", posterior double")
     picked = stats.join(F.broadcast(table), names).select("id", F.col("posterior").alias("y")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
-    got = rows.join(picked, "id").select("id", "text", "y").mapInPandas(_featured, "y double, dims array<bigint>, values array<double>").toPandas()
+    got = rows.join(F.broadcast(picked), "id").select("id", "text", "y").mapInPandas(_featured, "y double, dims array<bigint>, values array<double>").toPandas()
     if len(got):
         owner = np.repeat(np.arange(len(got)), got["dims"].str.len())
         w, b = train_linear(owner, np.concatenate(got["dims"].to_list()), np.concatenate(got["values"].to_list()), got["y"].to_numpy())
