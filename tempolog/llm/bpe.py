@@ -124,7 +124,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
             ends, ids, counts = [], [], []
             for part, start, last in zip(frame["_part"], frame["_start"], frame["_last"], strict=True):
                 e = chunk_pieces(c, part, last)
-                tokens = [c.piece(part[a:b]) for a, b in zip([0, *e[:-1]], e, strict=True)]
+                tokens = [c.piece(part[a:b]) for a, b in zip([0, *e][: len(e)], e, strict=True)]
                 ends.append(np.array([start, *(start + x for x in e)], np.int64))
                 counts.append(np.array([len(t) for t in tokens], np.int32))
                 ids.append(np.fromiter((i for t in tokens for i in t), np.int32))
