@@ -96,6 +96,14 @@ class Compiler:
             return self._compared(guard, p)
         if p.kind == "not" and p.args[0].kind in ("eq", "less"):
             return guard.filter(~self._comparison(p.args[0]))
+        bare = p.args[0] if p.kind == "not" else p
+        if bare.kind == "exists" and set(own) <= set(bound) and not self._safe(bare):
+            # the body needs the guard's variables
+            names = {f"v_{bare.name}"} & set(bound)
+            if names:
+                raise PolicyError(f"the variable {bare.name} is bound twice")
+            found = self.guarded_all(guard, _flat(bare.args[0])).select(guard.columns).distinct()
+            return guard.join(found, guard.columns, "left_anti") if p.kind == "not" else found
         if p.kind == "not":
             inner = p.args[0]
             if inner.kind in _WITNESSED:
