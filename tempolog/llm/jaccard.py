@@ -41,7 +41,8 @@ from .textkit import U, encoded, gram_sets, mix, words
 
 _STEP = 4
 _WORDS = 16
-_FEW = 20_000
+#: Bits of the filter that marks texts to compare; its broadcast has at most a row for each 64 of them.
+_MARKS = 1 << 25
 
 
 class Rings:
@@ -175,15 +176,23 @@ def _compared(k: int):
     return run
 
 
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose node is in `wanted`, and a few others: nodes are marked in a bitmap of fixed size, held as rows of 64
+    bits, so that what is broadcast is bounded whatever the number of nodes. It spares a shuffle most texts."""
+    at = F.pmod(F.xxhash64("node"), F.lit(_MARKS))
+    bit = lambda df: df.withColumn("_word", F.shiftright(at, 6)).withColumn("_bit", at.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = bit(wanted.select("node")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    return bit(texts).join(F.broadcast(bitmap), "_word").filter("getbit(_bits, _bit) = 1").select(*texts.columns)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact set sizes for the distinct (node, pivot) pairs. A pivot with many nodes is copied to several tasks. At most
-    `_FEW` pairs are broadcast to the texts; with more, the texts are shuffled once."""
-    few = pairs.count() <= _FEW
+    """Exact set sizes for the distinct (node, pivot) pairs. A pivot with many nodes is copied to several tasks. Only texts
+    that pairs name are shuffled (but for chance hits in the bitmap), at every size alike."""
     load = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     dealt = pairs.join(load, "pivot").select("pivot", F.pmod(F.hash("node"), "salts").alias("salt"), "node")
     own = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("node"))
     wanted = dealt.union(own)
-    rows = texts.join(F.broadcast(wanted) if few else wanted, "node").select("pivot", "salt", "node", "text")
+    rows = _marked(texts, wanted).join(wanted, "node").select("pivot", "salt", "node", "text")
     rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node") != F.col("pivot"))
     return rows.mapInPandas(_compared(k), "node bigint, pivot bigint, shared bigint, joint bigint")
 
