@@ -2,7 +2,8 @@
 
 A vocabulary of byte pairs covers words, names and code in few tokens; random strings fall apart into about one token for
 each one or two characters. Runs of characters that occur in secrets are encoded, and those with few characters per token
-are reported, unless they are digests of a known length, UUIDs, numbers or identifiers made of words.
+are reported, unless they are digests of a known length, UUIDs, numbers or identifiers made of words that the vocabulary
+holds.
 """
 
 from __future__ import annotations
@@ -50,17 +51,23 @@ def _encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests of a known length, UUIDs, numbers, and identifiers: words (with numbers) of 3 letters and more on average."""
+    """Digests of a known length, UUIDs and numbers."""
     if _UUID.fullmatch(run) or _DIGEST.fullmatch(run) and len(run) in _DIGEST_SIZES:
         return True
-    letters = sum(map(str.isalpha, run))
-    parts = _WORD.findall(run)
-    words = [p for p in parts if not p.isdigit()]
-    return letters < len(run) // 4 or bool(words) and letters / len(words) >= 3
+    return sum(map(str.isalpha, run)) < len(run) // 4
+
+
+def worded(run: str, path: str) -> bool:
+    """Whether three quarters of the letters stand in words: separated or camel-case pieces of 3 letters and more that, as
+    they are or in lower case, take a token for each 3 letters at most. Random letters hardly ever do, in whatever case; nor
+    do long compounds in capitals, which are reported."""
+    encode = _encoding(path).encode_ordinary
+    words = sum(len(p) for p in _WORD.findall(run) if len(p) >= 3 and p.isalpha() and len(p) >= 3 * min(len(encode(x)) for x in (p, p.lower(), " " + p.lower())))
+    return words > 0 and 4 * words >= 3 * sum(map(str.isalpha, run))
 
 
 def scan(text: str, path: str, ratio: float) -> list[tuple[str, int, int]]:
-    """Spans (kind, start, end) in code points, by start and then kind as in KINDS."""
+    """Spans (kind, start, end) in code points, by start and then kind as in KINDS. An access key isn't also random."""
     found = []
     for kind, pattern, group, least in BASE:
         for m in pattern.finditer(text):
@@ -68,9 +75,10 @@ def scan(text: str, path: str, ratio: float) -> list[tuple[str, int, int]]:
                 found.append((m.start(), KINDS.index(kind), m.end()))
     for m in _RUN.finditer(text):
         run = m[0].strip("=-_/+")
-        if len(run) >= 20 and not known(run) and len(run) < ratio * len(_encoding(path).encode_ordinary(run)):
+        if len(run) >= 20 and not known(run) and len(run) < ratio * len(_encoding(path).encode_ordinary(run)) and not worded(run, path):
             at = m.start() + m[0].index(run)
-            found.append((at, 3, at + len(run)))
+            if not BASE[1][1].fullmatch(run):
+                found.append((at, 3, at + len(run)))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 

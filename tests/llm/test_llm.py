@@ -145,6 +145,19 @@ def test_secrets():
     assert secrets.scan("token=abc:secretsecret=12345678", path, 2.2) == [("assign", 16, 31)]
 
 
+def test_secrets_of_one_case():
+    path = secrets.tokenizer_path()
+    r = random.Random(5)
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for letters in (capitals + "234567", small + "234567", capitals + "0123456789", small + "0123456789", capitals, capitals + small):
+        for n in (24, 32, 40):
+            for _ in range(50):
+                key = "".join(r.choice(letters) for _ in range(n))
+                assert secrets.scan(f"the key {key} is new", path, 2.2) == [("random", 8, 8 + n)]
+    for name in ("MAX_CONNECTION_POOL_SIZE_LIMIT", "ERR_SSL_VERSION_OR_CIPHER_MISMATCH", "getHTTPResponseCodeForUser", "user_account_settings_page", "Donaudampfschifffahrtsgesellschaft"):
+        assert secrets.scan(name, path, 2.2) == []
+
+
 def test_bpe(spark, texts):
     import public_tokenizers as P
     import tiktoken
