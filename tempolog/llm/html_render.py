@@ -1,8 +1,9 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder reads the tags, opens and closes what HTML implies (a p ends before a block, an li before the next li, a
-cell or row before the next one), and leaves out what isn't shown: head matter, scripts, styles, templates, and elements
-hidden by attribute or inline style. A renderer then writes all visible text: blocks on lines of their own, paragraphs and
+cell or row before the next one, a row opens before a cell), and puts before a table what may not stand between its rows and
+cells. What isn't shown is left out: head matter, scripts, styles, templates, and elements hidden by the hidden attribute or
+inline style; aria-hidden hides nothing on screen. Of svg the texts are shown, of math all but annotations. A renderer then writes all visible text: blocks on lines of their own, paragraphs and
 headings apart, list items with bullets or numbers by depth, preformatted text as it is, and table cells in columns.
 """
 
@@ -27,7 +28,7 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head title script style template noscript iframe object canvas audio video svg math datalist noembed noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe object canvas audio video datalist noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 #: Blocks with an empty line before and after them.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr".split())
@@ -44,8 +45,21 @@ ENDS = {
     "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
     **{t: (frozenset("tr td th caption colgroup thead tbody tfoot".split()), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")},
 }
+_SECTIONS = frozenset("thead tbody tfoot".split())
+#: Where a table takes only its own parts; all else goes before the table.
+_GRID = _SECTIONS | {"table", "tr"}
+_PARTS = _SECTIONS | frozenset("caption colgroup col tr td th script style template".split())
+#: table part: open elements that it may stand in.
+_HOMES = {**dict.fromkeys(("td", "th"), frozenset(["tr"])), "tr": _SECTIONS | {"table"}, "col": frozenset(["colgroup", "table"]), **dict.fromkeys(("caption", "colgroup", *_SECTIONS), frozenset(["table"]))}
+_FOREIGN = frozenset(["svg", "math"])
+#: Elements of svg and math that hold HTML again.
+_INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: HTML that ends an svg or math left open.
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_SVG_HIDDEN = frozenset("defs symbol title desc metadata clippath mask pattern marker lineargradient radialgradient filter style script".split())
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _CLOSES_P = (BLOCKS | {"table"}) - {"option", "optgroup", "body", "html"}
-_BARRIER = frozenset("table td th caption button object template html body".split())
+_BARRIER = frozenset("table td th caption button object template foreignobject annotation-xml html body".split())
 
 
 class Node:
@@ -56,13 +70,14 @@ class Node:
 
 
 def _hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or tag == "input" or tag == "dialog" and "open" not in attrs or bool(_HIDING.search(attrs.get("style", "")))
+    return tag in HIDDEN or "hidden" in attrs or tag == "input" or tag == "dialog" and "open" not in attrs or bool(_HIDING.search(attrs.get("style", "")))
 
 
 def build(source: str) -> Node:
     root = Node("html", {})
     stack = [root]
     at = 0
+    foreign = re.search("<(?:svg|math)", source, re.I) is not None
 
     def end(tags, beyond) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -73,9 +88,46 @@ def build(source: str) -> Node:
                 return None
         return None
 
+    def put(kid: Node | str) -> None:
+        """Appends to the open element or, where a table doesn't take it, before the table."""
+        part = not kid.strip() if isinstance(kid, str) else kid.tag in _PARTS
+        if stack[-1].tag == "colgroup" and not part and stack[-2].tag == "table":
+            stack.pop()
+        if stack[-1].tag in _GRID and not part:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":
+                    kids = stack[i - 1].kids  # the open table is the last of them
+                    kids.insert(len(kids) - 1, kid)
+                    return
+        stack[-1].kids.append(kid)
+
+    def home(tag: str) -> None:
+        """Closes what stands between a table part and its place, and opens the row that a cell implies."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in _HOMES[tag]:
+                del stack[i + 1 :]
+                return
+            if stack[i].tag in _GRID and tag in ("td", "th"):
+                del stack[i + 1 :]
+                row = Node("tr", {})
+                stack[-1].kids.append(row)
+                stack.append(row)
+                return
+            if stack[i].tag in ("table", "td", "th", "caption"):
+                return
+
+    def outer() -> int:
+        """Place in the stack of the svg or math whose rules hold, 0 for HTML's."""
+        for i in range(len(stack) - 1, 0, -1) if foreign else ():
+            if stack[i].tag in _FOREIGN:
+                return i
+            if stack[i].tag in _INTEGRATION:
+                return 0
+        return 0
+
     def add(text: str) -> None:
         if text:
-            stack[-1].kids.append(html.unescape(text))
+            put(html.unescape(text))
 
     while m := _TAG.search(source, at):
         add(source[at : m.start()])
@@ -106,14 +158,34 @@ def build(source: str) -> Node:
             if stack[-1].tag == "head":
                 stack.pop()
             continue
+        inside = outer()
+        if inside and tag in _BREAKOUT:
+            del stack[inside:]
+            inside = 0
+        if inside:
+            node = Node(tag, attrs)
+            stack[-1].kids.append(node)
+            if not m[2].endswith("/") or _UNQUOTED_SLASH.search(m[2]):
+                stack.append(node)
+            continue
         if stack[-1].tag == "head" and tag not in ("base", "link", "meta", "title", "script", "style", "template", "noscript"):
             stack.pop()
         if tag in _CLOSES_P:
             end(frozenset(["p"]), _BARRIER)
         if tag in ENDS:
             end(*ENDS[tag])
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
+        if tag in _HOMES:
+            home(tag)
+        if stack[-1].tag in _GRID and tag in ("table", "form"):
+            if tag == "form":
+                continue
+            del stack[max(i for i, n in enumerate(stack) if n.tag == "table" or not i) or len(stack) :]
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        put(node)
+        if tag in _FOREIGN and m[2].endswith("/") and not _UNQUOTED_SLASH.search(m[2]):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             if tag == "textarea":
@@ -239,6 +311,20 @@ def _table(page: _Page, table: Node) -> None:
             page.raw("\n".join(out))
 
 
+def _drawn(svg: Node) -> list[Node]:
+    """The text elements and embedded HTML that an svg shows, in order."""
+    out, work = [], [svg]
+    while work:
+        node = work.pop()
+        if node.tag in _SVG_HIDDEN or _hidden(node.tag, node.attrs) or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out.append(node)
+        else:
+            work += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return out
+
+
 def _render(page: _Page, node: Node | str, pre: bool = False) -> None:
     """Appends a node's visible text; without recursion on the depth of the tree but for tables."""
     work: list = [("in", node, pre)]
@@ -268,6 +354,9 @@ def _render(page: _Page, node: Node | str, pre: bool = False) -> None:
         if tag == "img":
             page.text(it.attrs.get("alt", ""))
             continue
+        if tag == "svg":
+            work += [x for k in reversed(_drawn(it)) for x in (("in", " ", False), ("in", k, False), ("in", " ", False))]
+            continue
         if tag in BLOCKS:
             page.block(1 + (tag in APART and not (tag in _LISTS and lists)))
         if tag == "table":
@@ -292,6 +381,9 @@ def _render(page: _Page, node: Node | str, pre: bool = False) -> None:
         work.append(("out", it, pre))
         inner = pre or tag in ("pre", "textarea", "listing", "xmp")
         kids = it.kids
+        if tag == "semantics":  # of a formula's forms the first is shown
+            first = next((i for i, k in enumerate(kids) if isinstance(k, Node)), 0)
+            kids = kids[: first + 1]
         if tag == "pre" and kids and isinstance(kids[0], str):
             kids = [kids[0].removeprefix("\r").removeprefix("\n"), *kids[1:]]
         work += [("in", k, inner) for k in reversed(kids)]

@@ -250,6 +250,22 @@ def test_html(source, text):
     assert html_render.render(source).lstrip(" ") == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<table><tbody><form><tr><td>a<td>b</form></table>", "a  b"), ("<table><tbody><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><td>a<td>b</table>", "a  b"), ("<table><tr><form><td>a<td>b</table>", "a  b"),
+    ("<table><tbody>x<div>y</div><tr><td>a</table>z", "x\ny\n\na\n\nz"), ("<table><tbody><div>y<tr><td>a<td>b</table>", "y\n\na  b"),
+    ("<table><thead><b>h</b><tr><th>a</thead><tfoot>f<tr><td>b</table>", "hf\n\na\nb"),
+    ("<table><colgroup>t<tr><td>a</table>", "t\n\na"), ("<table><caption>c</caption><tbody><tr><td><table><td>in</table><td>o</table>", "c\nin  o"),
+    ("<table><tr><td>a<table><tbody>q</table></table>", "aq"), ("<table><colgroup><table><td>a</table>", "a"),
+    ("<p>a <span aria-hidden='true'>b</span></p>", "a b"), ("<span hidden>a</span>b", "b"),
+    ("<svg><title>n</title><defs><text>n</text></defs><path d='M0'/><g><text>one<tspan>s</tspan></text><text visibility='hidden'>n</text><text>two</text></g></svg>", "ones two"),
+    ("<svg><title/><foreignObject><p>in</p></foreignObject></svg>after", "in\n\nafter"), ("<svg/>x", "x"), ("a<svg><path><div>b</div>", "a\nb"),
+    ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math>", "x=1"),
+])
+def test_html_shows_all(source, text):
+    assert "\n".join(x.lstrip(" ") for x in html_render.render(source).split("\n")) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
