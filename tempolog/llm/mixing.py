@@ -35,8 +35,14 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[floa
     return per.select("source", "source_size", "weight", "target")
 
 
+def _position(start: Column, target: Column, tilt: Column) -> Column:
+    """The time at which the demand of a source reaches `start` words: its integral, t + a (t^2 - t), inverted."""
+    u = F.least(F.lit(1.0), start / target)
+    return F.when(tilt == 0, u).otherwise((tilt - 1 + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u)) / (2 * tilt))
+
+
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), tilts: tuple[float, ...] = (-0.5, 0.0, 0.5), most: int = 3) -> DataFrame:
-    """`docs` with columns size, source_size, target, taken and position added (one row for each row of `docs`).
+    """`docs` with columns size, source_size, target, taken, position, start and tilt added (one row for each row of `docs`).
 
     size counts the words of the text (null: 0). Within a source documents follow the digest of their id; running sums of
     sizes give each a range of the source's token demand. Full passes take every document, and the last, partial pass
@@ -44,14 +50,15 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts words with repeats, sums to the target of the source, and never exceeds `most` times the size.
 
     A source with tilt a has weight 1 + a (2t - 1) at time t of the training; its integral t + a (t^2 - t) is inverted at
-    the document's start in the demand: position, from 0 to 1, of its first use (null if taken is 0).
+    the document's start in the demand (start, in words): position, from 0 to 1, of its first use (null if taken is 0). Later
+    uses start source_size words further each; `training_order` inverts the integral for every one.
 
     Running sums are taken in 4096 buckets of each source, with the buckets' sums added beforehand, so that one source
     with a third of all rows is spread over all tasks. Rows without id come first in order; equal ids are ordered by size.
     Documents without words are taken 0 times. Columns of `docs` with the names of the added ones are replaced. An empty
     table gives no rows.
     """
-    added = ("size", "source_size", "target", "taken", "position")
+    added = ("size", "source_size", "target", "taken", "position", "start", "tilt")
     source, text, key = F.col(source_col), F.col(text_col), F.col(id_col)
     base = docs.select(*[c for c in docs.columns if c not in added], source.alias("_mix_source"), word_count(text).alias("_mix_size"), F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")).alias("_mix_key"))
     base = base.withColumn("_mix_bucket", F.substring("_mix_key", 1, 3))
@@ -69,14 +76,13 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("bigint")
     part = F.greatest(F.lit(0), F.least(F.col("_mix_size"), goal - full * F.col("source_size") - F.col("_mix_before")))
     taken = (full * F.col("_mix_size") + part).cast("bigint")
-    u, a = F.least(F.lit(1.0), F.col("_mix_before") / F.col("target")), F.col("_mix_tilt")
-    position = F.when(a == 0, u).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * u)) / (2 * a))
-    return rows.select(*[c for c in docs.columns if c not in added], F.col("_mix_size").alias("size"), "source_size", "target", taken.alias("taken"), F.when(taken > 0, position).alias("position"))
+    position = F.when(taken > 0, _position(F.col("_mix_before"), F.col("target"), F.col("_mix_tilt")))
+    return rows.select(*[c for c in docs.columns if c not in added], F.col("_mix_size").alias("size"), "source_size", "target", taken.alias("taken"), position.alias("position"), F.col("_mix_before").alias("start"), F.col("_mix_tilt").alias("tilt"))
 
 
 def training_order(planned: DataFrame) -> DataFrame:
-    """A row for every use of a document (column use, from 0), sorted over all partitions by its position."""
+    """A row for every use of a document (column use, from 0), sorted over all partitions by that use's position."""
     uses = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = planned.filter("taken > 0").withColumn("use", F.explode(F.sequence(F.lit(0), uses - 1)))
-    rows = rows.withColumn("position", F.least(F.lit(1.0), F.col("position") + F.col("use") * F.col("source_size") / F.col("target")))
+    rows = rows.withColumn("position", _position(F.col("start") + F.col("use") * F.col("source_size"), F.col("target"), F.col("tilt")))
     return rows.orderBy("position", "use")

@@ -231,6 +231,32 @@ def test_mixing(spark):
     assert mixing.curriculum(docs.limit(0)).count() == 0
 
 
+def test_mixing_positions_of_all_uses(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), f"s{(i % 10 > 6) + (i % 10 > 8)}") for i in range(200)]
+    plan = mixing.curriculum(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    target = {x.source: x.target for x in plan.collect()}
+    want = {}
+    for s, a in (("s0", -0.5), ("s1", 0.0), ("s2", 0.5)):
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), len(t.split()), i) for i, t, x in rows if x == s)
+        at, use = 0, 0
+        while at < round(target[s]):
+            for _, n, i in own:
+                if n and at < round(target[s]):
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        t = (low + high) / 2
+                        low, high = (t, high) if t + a * (t * t - t) < at / target[s] else (low, t)
+                    want[i, use] = low
+                at += n
+            use += 1
+    got = mixing.training_order(plan).collect()
+    assert {(x.doc_id, x.use) for x in got} == set(want) and len(got) == len(want)
+    assert all(abs(x.position - want[x.doc_id, x.use]) < 1e-9 for x in got)
+    assert [x.position for x in got] == sorted(x.position for x in got)
+    assert max(u for i, u in want if rows[i][2] == "s2") == 2
+
+
 def test_url_filter(spark):
     rows = [(0, "http://a.com/en/1", ""), (1, "https://X.org/p?q=1#f", '<link rel="canonical" href="http://a.com/en/1">'), (2, None, None), (3, "nothing", ""), (4, "http://example.com/en/7x", ""), (5, "http://y.org/", "<meta http-equiv='refresh' content='0; url=http://x.org/p?q=1'>"), (6, "http://z.org/a", '<link rel=canonical href="http://example.com/en/7x"><link rel=canonical href="http://a.com/en/1">')]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
