@@ -12,14 +12,15 @@ p/q bounds both. The join uses them from the outside in:
    share a region, whose centre is that part. With random pivots instead, nearly all texts have distance 1 to all
    pivots and nothing could be pruned; these regions keep unrelated texts apart whatever words are frequent.
 4. A region's pivot is its least document. All members' distances to it are computed. Members linked with a pivot are in
-   its component already. Members of other components are joined recursively: more pivots are taken in the region, those
-   of the smallest components first and four times as many in each round, and compared with the members of other
-   components that the window |d(x, p) - d(y, p)| <= limit on the distances to the first pivot leaves. A region is done
-   when one component or no unexamined pair is left. As similar classes share many regions, the first round works on the first
-   region of each class only, the second on four; what they link most often settles the others. All others follow.
+   its component already. Where members of different components remain, the region is joined again: first with 16 more
+   pivots, those of the smallest components, then with all members but the largest component's, always with members of
+   other components only, and only those that the window |d(x, p) - d(y, p)| <= limit on the distances to
+   the first pivot leaves. Then no unexamined pair of two components is left.
 
 Parities of 1024 hash cells of a set differ in at most |x ^ y| places; pairs that differ in more than a link allows aren't
-compared. The parts that hold no shingle are equal too; m is raised so that e + 1 parts must agree, where more than e empty ones are
+compared.
+
+The parts that hold no shingle are equal too; m is raised so that e + 1 parts must agree, where more than e empty ones are
 rare, and only sets with more than e empty parts use those.
 """
 
@@ -31,15 +32,18 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import checkpointed, release, slices, small_batches
+from .session import arrow_slices, checkpointed, release, small_batches
 from .textkit import U, encoded, gram_sets, mix, words
 
-_STEP = 4
+#: Pivots of a region in each further round; None: all members that aren't of its largest component.
+_ROUNDS = (16, None)
+#: Tasks among which the comparisons with one pivot are dealt.
+_SALTS = 16
 _WORDS = 16
 #: Bits of the filter that marks texts to compare; its broadcast has at most a row for each 64 of them.
 _MARKS = 1 << 25
@@ -119,10 +123,11 @@ def _sets(texts, k: int) -> list[np.ndarray]:
 
 
 def _signed(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(batches, "text"):
-            sets = _sets(frame["text"], k)
-            yield pd.DataFrame({"id": frame["id"], "n": [len(s) for s in sets], "sig": [_signature(s) for s in sets], "bits": [_parities(s) for s in sets]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in arrow_slices(batches, "text"):
+            sets = _sets(frame["text"].to_pylist(), k)
+            columns = [frame["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_signature, sets), pa.binary()), pa.array(map(_parities, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "bits"])
 
     return run
 
@@ -132,14 +137,14 @@ def _alias(sig: bytes) -> int:
     return int.from_bytes(sig[:5], "big")
 
 
-def _posted(k: int, rings: Rings, remember: int = 1 << 18):
+def _posted(k: int, rings: Rings, remember: int = 1 << 17):
     """(region, class) rows; the copies of a class in one task are posted once (as long as it is remembered)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for frame in slices(batches, "text", 1 << 20):
+        for frame in arrow_slices(batches, "text"):
             fresh, names = [], []
-            for s in _sets(frame["text"], k):
+            for s in _sets(frame["text"].to_pylist(), k):
                 sig = _signature(s)
                 if len(s) and sig not in seen:
                     if len(seen) >= remember:
@@ -149,7 +154,8 @@ def _posted(k: int, rings: Rings, remember: int = 1 << 18):
                     names.append(_alias(sig))
             keys = rings.keys(fresh)
             if fresh:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "alias": np.repeat(np.array(names, np.int64), [len(x) for x in keys])})
+                alias = np.repeat(np.array(names, np.int64), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(alias)], ["key", "alias"])
 
     return run
 
@@ -157,12 +163,12 @@ def _posted(k: int, rings: Rings, remember: int = 1 << 18):
 def _compared(k: int):
     """Rows (pivot, salt, node, text), a pivot's own row first, into (node, pivot, shared, joint)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot_sets = None, []
-        for frame in slices(batches, "text"):
+        for frame in arrow_slices(batches, "text"):
             out = []
-            sets = _sets(frame["text"], k)
-            for p, salt, node, s in zip(frame["pivot"], frame["salt"], frame["node"], sets, strict=True):
+            sets = _sets(frame["text"].to_pylist(), k)
+            for p, salt, node, s in zip(*(frame[c].to_pylist() for c in ("pivot", "salt", "node")), sets, strict=True):
                 if (p, salt) != key:
                     key, pivot_sets = (p, salt), []
                 if node == p:
@@ -171,7 +177,7 @@ def _compared(k: int):
                 for own in pivot_sets:
                     shared = len(np.intersect1d(own, s, assume_unique=True))
                     out.append((node, p, shared, len(own) + len(s) - shared))
-            yield pd.DataFrame(out, columns=["node", "pivot", "shared", "joint"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["node", "pivot", "shared", "joint"])
 
     return run
 
@@ -186,21 +192,19 @@ def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact set sizes for the distinct (node, pivot) pairs. A pivot with many nodes is copied to several tasks. Only texts
-    that pairs name are shuffled (but for chance hits in the bitmap), at every size alike."""
-    load = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
-    dealt = pairs.join(load, "pivot").select("pivot", F.pmod(F.hash("node"), "salts").alias("salt"), "node")
-    own = load.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("node"))
-    wanted = dealt.union(own)
+    """Exact set sizes for the distinct (node, pivot) pairs. A pivot's nodes are dealt to several tasks, each with a copy of the
+    pivot. Only texts that pairs name are shuffled (but for chance hits in the bitmap), at every size alike."""
+    dealt = pairs.select("pivot", F.pmod(F.hash("node"), F.lit(_SALTS)).alias("salt"), "node")
+    wanted = dealt.union(dealt.select("pivot", "salt", F.col("pivot").alias("node")).distinct())
     rows = _marked(texts, wanted).join(wanted, "node").select("pivot", "salt", "node", "text")
     rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node") != F.col("pivot"))
-    return rows.mapInPandas(_compared(k), "node bigint, pivot bigint, shared bigint, joint bigint")
+    return rows.mapInArrow(_compared(k), "node bigint, pivot bigint, shared bigint, joint bigint")
 
 
 def _members(rows: DataFrame, classes: DataFrame, shingle: int, rings: Rings) -> DataFrame:
     """The classes of all regions that have two or more, with the region's first pivot and its size."""
     region = Window.partitionBy("key")
-    posted = rows.filter("id IS NOT NULL").mapInPandas(_posted(shingle, rings), "key bigint, alias bigint")
+    posted = rows.filter("id IS NOT NULL").mapInArrow(_posted(shingle, rings), "key bigint, alias bigint")
     shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
     named = shared.join(classes, "alias").select("key", "node", "n", F.min(F.struct("node", "n")).over(region).alias("first"))
     return checkpointed(named.select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
@@ -230,7 +234,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     p, q = at_least.numerator, at_least.denominator
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rings = Rings(p, q)
-    signed = checkpointed(rows.mapInPandas(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
+    signed = checkpointed(rows.mapInArrow(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
 
     number = F.conv(F.substring(F.hex("sig"), 1, 10), 16, 10).cast("bigint")
     classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", number.alias("alias"), "bits"))
@@ -250,8 +254,9 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     # the first pivot of a region is examined, the others remain; without a distance their sizes or parities were apart
     first = seen.groupBy("node", "pivot").agg(F.min(1 - F.col("shared") / F.col("joint")).alias("d0"), F.max(1 - F.col("shared") / F.col("joint")).alias("d1"))
     left = members.filter("node <> pivot").join(first, ["node", "pivot"], "left").select("key", "node", "n", "d0", "d1")
-    pivots_each, regions_each = _STEP, 1
-    while True:
+    limit = float(1 - at_least) + 1e-9
+    window = F.coalesce((F.col("d0") - F.col("p1") <= limit) & (F.col("p0") - F.col("d1") <= limit), F.lit(True))
+    for pivots in _ROUNDS:
         known = labels.select("node", F.col("component").alias("label"))
         left = left.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
@@ -259,41 +264,36 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
         release(spark)
         if left.isEmpty():
             break
-        now = left
-        if regions_each <= _STEP:
-            turn = left.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("key"))).filter(F.col("r") <= regions_each).select("key").distinct()
-            now = left.join(turn, "key", "left_semi")
-        now = checkpointed(now.join(classes.select("node", "bits"), "node"))
-        share = now.groupBy("key", "label").agg(F.count("*").alias("size"))
-        ranked = now.join(share, ["key", "label"]).withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
-        order = [F.col("size"), F.col("node")]
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).filter(F.col("r") <= pivots_each)
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= pivots_each)
-        chosen = checkpointed(ranked.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl"), F.col("bits").alias("pb")))
-        window = (F.col("d0") - F.col("p1") <= float(1 - at_least) + 1e-9) & (F.col("p0") - F.col("d1") <= float(1 - at_least) + 1e-9)
-        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(F.coalesce(window, F.lit(True))).filter(near("n", "pn"))
+        now = left.join(classes.select("node", "bits"), "node")
+        chosen = _pivots(left, pivots).join(classes.select(F.col("node").alias("pivot"), F.col("bits").alias("pb")), "pivot")
+        pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(window).filter(near("n", "pn"))
         pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
         pairs = checkpointed(pairs.join(seen, ["node", "pivot"], "left_anti"))
-        if not pairs.isEmpty():
-            fresh = checkpointed(_verified(texts, pairs, shingle))
-            seen = seen.union(fresh)
-            labels = _merged(labels, linked(fresh))
-        left = left.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        pivots_each *= _STEP
-        regions_each *= _STEP
+        fresh = checkpointed(_verified(texts, pairs, shingle))
+        seen = seen.union(fresh)
+        links = linked(fresh)
+        if not links.isEmpty():
+            labels = connected_components(links.union(labels), "node", "pivot")
+        if pivots:
+            left = left.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
 
     return _placed(signed, labels)
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links between nodes, some of which have no label yet."""
-    mine = labels.select(F.col("node").alias("node"), F.col("component").alias("la"))
-    yours = labels.select(F.col("node").alias("pivot"), F.col("component").alias("lb"))
-    joined = links.join(mine, "node", "left").join(yours, "pivot", "left")
-    ends = checkpointed(joined.select("node", "pivot", F.coalesce("la", "node").alias("la"), F.coalesce("lb", "pivot").alias("lb")))
-    over = connected_components(ends, "la", "lb").select(F.col("node").alias("component"), F.col("component").alias("least"))
-    nodes = labels.union(ends.select("node", "la")).union(ends.select("pivot", "lb")).distinct()
-    return checkpointed(nodes.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+def _pivots(left: DataFrame, most: int | None) -> DataFrame:
+    """(key, pivot, pn, p0, p1, pl): up to `most` members of each region, of its smallest components first; without a bound
+    all but the members of its largest component."""
+    share = left.groupBy("key", "label").agg(F.count("*").alias("size"))
+    if most is None:
+        largest = share.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("largest"))
+        got = left.join(largest, "key").filter("label <> largest")
+    else:
+        order = [F.col("size"), F.col("node")]
+        got = left.join(share, ["key", "label"]).withColumn("salt", F.pmod(F.hash("node"), F.lit(64)))
+        # the first of each salt, then the first of those, so that a large region is sorted in parts
+        got = got.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).filter(F.col("r") <= most)
+        got = got.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("r") <= most)
+    return got.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("label").alias("pl"))
 
 
 def _placed(signed: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ import gc
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +37,27 @@ def slices(batches: Iterator[pd.DataFrame], text: str, limit: int = 2 << 20) ->
             yield part
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text, a longer text alone in its batch. Columns stay as they are in
+    Arrow, so that integers with nulls keep all digits."""
+    for batch in batches:
+        if batch.num_rows:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.slice(a, b - a)
+
+
+def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch with columns added, in that order."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+
+
+def schema_of(df: DataFrame, added: str = "") -> str:
+    """The columns of `df`, and added ones, as a schema string."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), *([added] if added else [])])
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of rows that nothing refers to any more, in the midst of a loop."""
     gc.collect()
