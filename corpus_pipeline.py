@@ -2,7 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run(spark, sf_dir) applies
 them one after another, each result written to the shared checkpoint folder. There is no SQL for the whole (a learned
-classifier comes first), and no plain version to compare rows with: the test counts stages, rows and tokens only.
+classifier comes first); tests compare each stage's rows with a plain version.
+
+All stages but the last return the columns of documents (doc_id, text, lang, source, n_chars). The mix's row of a document
+that it takes several times, or in part, is a row for each use, and the order of training is position, use, doc_id;
+these two columns come along, as the last stage returns them too.
 """
 
 from __future__ import annotations
@@ -22,17 +26,23 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity score stays under 0.7; labels are those of the documents table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
-    return toxicity.scored(docs, model, 0.7).filter("predicted = 0").select(*COLUMNS)
+    return toxicity.scored(docs.select(*COLUMNS), model, 0.7).filter("predicted = 0").select(*COLUMNS)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles at 0.8 or more, the one with the least doc_id.
+    """Of each group of documents linked by 5-word shingles at 0.8 or more, one: that with the least hash of id and text.
 
-    Documents without words stay, as do rows without doc_id; of rows that repeat a doc_id one stays.
+    Groups are of texts, not of ids: rows without doc_id are grouped like others, and different texts under one doc_id stay
+    apart. Of rows that agree in doc_id and text one stays. Documents without words link with nothing and all stay.
     """
-    groups = jaccard.jaccard_groups(docs, 5, Fraction(8, 10)).filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
-    return named.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    groups = jaccard.jaccard_groups(keyed, 5, Fraction(8, 10), id_col="key")
+    kept = groups.filter("n_shingles > 0 AND id = component_id").select(F.col("id").alias("key")).distinct()
+    # two texts whose keys collide both stay
+    one = keyed.join(kept, "key", "left_semi").groupBy("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    wordless = docs.filter(~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))).select(*COLUMNS)
+    return one.select("doc_id", "row.*").select(*COLUMNS).union(wordless)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +51,19 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every use of a document in the mix, in training order."""
-    return mixing.training_order(mixing.curriculum(docs.select(*COLUMNS))).select(*COLUMNS)
+    """A row for every use of a document in the mix, in training order, with columns position and use.
+
+    A use that the mix takes in part has the first words of the text, up to the number taken."""
+    rows = mixing.training_order(mixing.curriculum(docs.select(*COLUMNS)), "text", "doc_id")
+    size = F.when(F.col("words") < F.col("size"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return rows.select("doc_id", "text", "lang", "source", size.alias("n_chars"), "position", "use")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_tokens of every row."""
-    return bpe.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    """doc_id, source, position, use, ids and n_tokens of every row, in training order."""
+    place = [c for c in ("position", "use") if c in docs.columns]
+    rows = bpe.encode(docs.select("doc_id", "source", "text", *place))
+    return rows.select("doc_id", "source", *place, "ids", F.size("ids").cast("bigint").alias("n_tokens")).orderBy(*place, "doc_id")
 
 
 STAGES = [

@@ -14,11 +14,12 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import slices, small_batches
+from .session import arrow_slices, schema_with, small_batches, with_columns
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -95,75 +96,72 @@ def stitched(chunks: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]
     return out
 
 
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """`docs` with column ids: array<int>, the text's tokens as the tiktoken library's encode_ordinary gives them.
 
-    Null and empty texts have no tokens. A column of that name is replaced; repeated rows are each returned. Texts longer
-    than `chunk` code points are dealt as chunks with `overlap` code points of the next; where neighbours share no
-    boundary in the overlap (such as within one run of letters that is longer) the text is encoded as one chunk.
+    Null and empty texts have no tokens. A column of that name is replaced, others stay whatever their names; repeated rows are
+    each returned. Texts longer than `chunk` code points are dealt as chunks with `overlap` code points of the next; where
+    neighbours share no boundary in the overlap (such as within one run of letters that is longer) the text is encoded as one
+    chunk. Rows come in no order.
     """
     from .secrets import tokenizer_path
 
     small_batches(docs.sparkSession)
     path, pat = path or tokenizer_path(), pat or pattern()
-    keep = docs.select(*[c for c in docs.columns if c != "ids"])
-    names = keep.columns
+    keep = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
-        for frame in slices(batches, text_col):
-            yield frame[names].assign(ids=[np.array(c.encode(t) if isinstance(t, str) else [], np.int32) for t in frame[text_col]])
+        for batch in arrow_slices(batches, text_col):
+            ids = pa.array([c.encode(t) if t else [] for t in batch[text_col].to_pylist()], pa.list_(pa.int32()))
+            yield with_columns(batch, ids=ids)
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
-        for frame in slices(batches, "_part"):
+        for batch in arrow_slices(batches, "part"):
             ends, ids, counts = [], [], []
-            for part, start, last in zip(frame["_part"], frame["_start"], frame["_last"], strict=True):
+            for part, start, last in zip(*(batch[x].to_pylist() for x in ("part", "start", "last")), strict=True):
                 e = chunk_pieces(c, part, last)
                 tokens = [c.piece(part[a:b]) for a, b in zip([0, *e][: len(e)], e, strict=True)]
                 ends.append(np.array([start, *(start + x for x in e)], np.int64))
                 counts.append(np.array([len(t) for t in tokens], np.int32))
                 ids.append(np.fromiter((i for t in tokens for i in t), np.int32))
-            yield pd.DataFrame({"_row": frame["_row"], "_start": frame["_start"], "_ends": ends, "_counts": counts, "_ids": ids})
+            yield pa.RecordBatch.from_arrays([batch["name"], batch["start"], *(pa.array(x, pa.list_(t)) for x, t in ((ends, pa.int64()), (counts, pa.int32()), (ids, pa.int32())))], ["name", "start", "ends", "counts", "ids"])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame[frame["_kind"] == 0].iloc[:1]
-        rest = frame[frame["_kind"] == 1].sort_values("_start")
-        got = stitched(list(zip(rest["_start"], rest["_ends"], strict=True)))
-        if got is None:
-            ids = np.array(codec(path, pat).encode(first[text_col].iloc[0]), np.int32)
-        else:
+        rest = frame.sort_values("start")
+        got = stitched(list(zip(rest["start"], rest["ends"], strict=True)))
+        ids = None
+        if got is not None:
             cut = []
-            for (_, a, b), ends, counts, tokens in zip(got, rest["_ends"], rest["_counts"], rest["_ids"], strict=True):
+            for (_, a, b), ends, counts, tokens in zip(got, rest["ends"], rest["counts"], rest["ids"], strict=True):
                 at = np.concatenate([[0], np.cumsum(counts)])
                 i, j = np.searchsorted(ends, [a, b])
                 cut.append(tokens[at[i] : at[j]])
             ids = np.concatenate(cut)
-        return first[names].assign(ids=[ids])
+        return pd.DataFrame({"name": frame["name"].iloc[:1], "stitched": [ids]})
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pat)
+        for batch in arrow_slices(batches, "text"):
+            ids = [c.encode(t) if i is None else i for t, i in zip(batch["text"].to_pylist(), batch["stitched"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(ids, pa.list_(pa.int32())), batch["times"]], ["row", "ids", "times"])
 
-    long = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
-    short = keep.filter(~long).mapInPandas(whole, f"{_schema(keep)}, ids array<int>")
+    size = F.char_length(F.col(text_col))
+    short = keep.filter(F.coalesce(size <= chunk, F.lit(True))).mapInArrow(whole, schema_with(keep, "ids array<int>"))
     # a row's name within the table: all of its values; equal rows share their chunks
-    named = keep.filter(long).withColumn("_row", F.sha2(F.to_json(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])), 256))
-    same = named.groupBy("_row").agg(F.count("*").alias("_times"), F.first(F.struct(*names)).alias("_it"))
-    n = F.char_length(F.col("_it").getField(text_col))
-    cuts = same.select("_row", "_it", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("_i"))
-    cuts = cuts.select("_row", (F.col("_i") * chunk).cast("bigint").alias("_start"), F.substring(F.col("_it").getField(text_col), F.col("_i") * chunk + 1, F.lit(chunk + overlap)).alias("_part"), (F.col("_i") * chunk + chunk + overlap >= n).alias("_last"))
-    done = cuts.repartition("_row", "_start").mapInPandas(parts, "_row string, _start bigint, _ends array<bigint>, _counts array<int>, _ids array<int>")
-    texts = same.select("_row", F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_start"), F.lit(None).cast("array<bigint>").alias("_ends"), F.lit(None).cast("array<int>").alias("_counts"), F.lit(None).cast("array<int>").alias("_ids"), "_times", "_it.*")
-    pieces = done.select("_row", F.lit(1).alias("_kind"), "_start", "_ends", "_counts", "_ids", F.lit(None).cast("bigint").alias("_times"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in keep.schema])
-
-    def repeated(frame: pd.DataFrame) -> pd.DataFrame:
-        out = joined(frame)
-        times = int(frame.loc[frame["_kind"] == 0, "_times"].iloc[0])
-        return out.loc[out.index.repeat(times)]
-
-    both = texts.unionByName(pieces).groupBy("_row").applyInPandas(repeated, f"{_schema(keep)}, ids array<int>")
-    return short.unionByName(both)
+    values = F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(keep.columns)])
+    long = keep.filter(size > chunk).select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.sha2(F.to_json(values), 256).alias("name"))
+    same = long.groupBy("name").agg(F.count("*").alias("times"), F.first("row").alias("row"), F.first("text").alias("text"))
+    n = F.char_length("text")
+    cuts = same.select("name", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("i"))
+    cuts = cuts.select("name", (F.col("i") * chunk).cast("bigint").alias("start"), F.substring(F.col("text"), F.col("i") * chunk + 1, F.lit(chunk + overlap)).alias("part"), (F.col("i") * chunk + chunk + overlap >= F.col("n")).alias("last"))
+    done = cuts.repartition("name", "start").mapInArrow(parts, "name string, start bigint, ends array<bigint>, counts array<int>, ids array<int>")
+    ids = done.groupBy("name").applyInPandas(joined, "name string, stitched array<int>")
+    both = same.join(ids, "name").select("row", "text", "stitched", "times")
+    both = both.mapInArrow(filled, schema_with(both.select("row"), "ids array<int>, times bigint"))
+    repeated = both.select("row", "ids", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*", "ids")
+    return short.unionByName(repeated)
 
 
 def decoded(ids: Column, path: str | None = None, pat: str | None = None) -> Column:

@@ -120,12 +120,13 @@ def as_expression(rules: list[Rule]) -> Column:
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
     """At most `rows` labelled documents, those with the least hashes of their ids: id, text and label.
 
-    Labels that are null or repeat an id with other values are left out.
+    Labels that are null or repeat an id with other values are left out; of texts that repeat an id the least counts.
     """
     clear = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).filter("y = z")
     picked = clear.select("id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # at most `rows` short rows, so their size is bounded whatever the input's
-    return docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 20_000, **options) -> list[Rule]:

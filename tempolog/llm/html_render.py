@@ -14,11 +14,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import slices, small_batches
+from .session import arrow_slices, small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
@@ -406,8 +406,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     null and empty pages give empty texts; other columns aren't read; tables nest to any sensible depth."""
     small_batches(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(batches, "html"):
-            yield pd.DataFrame({"id": frame["id"], "text": [render(h) for h in frame["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "html"):
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([render(h) for h in batch["html"].to_pylist()], pa.string())], ["id", "text"])
 
-    return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).cast("string").alias("html")).mapInPandas(run, "id bigint, text string")
+    return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "id bigint, text string")

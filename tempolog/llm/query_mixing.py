@@ -10,7 +10,7 @@ from .mixing import curriculum
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of all documents, in training order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return curriculum(docs).orderBy("position").select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum(docs).orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

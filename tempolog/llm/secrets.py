@@ -13,11 +13,11 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import slices, small_batches
+from .session import arrow_slices, schema_with, small_batches, with_columns
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, least length.
 BASE = (
@@ -93,13 +93,13 @@ def secret_spans(docs: DataFrame, text_col: str = "text", ratio: float = 2.2, pa
     path = path or tokenizer_path()
     keep = docs.select(*[c for c in docs.columns if c != "spans"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(batches, text_col):
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, path, ratio)] if isinstance(t, str) else [] for t in frame[text_col]]
-            yield frame.assign(spans=spans)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in arrow_slices(batches, text_col):
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, path, ratio)] if t else [] for t in batch[text_col].to_pylist()]
+            yield with_columns(batch, spans=pa.array(spans, kind))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", spans {SPANS}"
-    return keep.mapInPandas(run, schema)
+    return keep.mapInArrow(run, schema_with(keep, f"spans {SPANS}"))
 
 
 def _redacted(text: str, spans, mark: str) -> str:
@@ -119,17 +119,18 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", ratio: float = 2.2, path:
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(batches, "text"):
-            texts, sizes = [], []
-            for t, n in zip(frame["text"], frame["n_chars"], strict=True):
-                spans = [{"start": a, "end": b} for _, a, b in scan(t, path, ratio)] if isinstance(t, str) else []
-                t = _redacted(t, spans, mark) if spans else t
-                texts.append(t)
-                sizes.append(len(t) if spans else n)
-            yield frame.assign(text=texts, n_chars=sizes)
-
-    return docs.mapInPandas(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "text"):
+            texts, sizes = batch["text"].to_pylist(), batch["n_chars"].to_pylist()
+            for i, t in enumerate(texts):
+                spans = [{"start": a, "end": b} for _, a, b in scan(t, path, ratio)] if t else []
+                if spans:
+                    texts[i] = _redacted(t, spans, mark)
+                    sizes[i] = len(texts[i])
+            new = {"text": pa.array(texts, batch["text"].type), "n_chars": pa.array(sizes, batch["n_chars"].type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in batch.schema.names], batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
-def schema_of(df: DataFrame, added: str = "") -> str:
-    """The columns of `df`, and added ones, as a schema string."""
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), *([added] if added else [])])
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """The columns of `df`, and added ones that are given as in SQL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
 
 
 def release(spark: SparkSession) -> None:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import slices, small_batches
+from .session import arrow_slices, small_batches
 from .textkit import U, encoded, grams, mix, words
 
 #: Fixed values of the contract: characters counted as symbols, words in a window.
@@ -55,14 +56,11 @@ def duplicate_lines(text: str) -> int:
     return found
 
 
-def measure(frame: pd.DataFrame) -> pd.DataFrame:
-    texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+def measure(texts: list[str | None]) -> pd.DataFrame:
+    texts = [t or "" for t in texts]
     w = words(encoded(texts))
-    n = np.diff(w.offsets)
-    ends = [sum(map(t.count, ".!?")) for t in texts]
     return pd.DataFrame({
-        "id": frame["id"],
-        "n_words": n,
+        "n_words": np.diff(w.offsets),
         "word_chars": [len(t) - sum(map(t.count, WHITE)) for t in texts],
         "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts],
         "n_dup_lines": [duplicate_lines(t) for t in texts],
@@ -71,14 +69,15 @@ def measure(frame: pd.DataFrame) -> pd.DataFrame:
         "n_lines": [t.count("\n") + bool(t) for t in texts],
         "n_digits": [sum(map(t.count, "0123456789")) for t in texts],
         "n_capitals": [sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for t in texts],
-        "n_stops": ends,
+        "n_stops": [sum(map(t.count, ".!?")) for t in texts],
         "n_distinct": distinct_words(w),
     })
 
 
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in slices(batches, "text"):
-        yield measure(frame)
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow_slices(batches, "text"):
+        got = measure(batch["text"].to_pylist())
+        yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(got[c], pa.int64()) for c in got)], ["id", *got])
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,4 +86,4 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Nothing but the two named columns is read. Texts are measured whole, in frames of bounded size.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(_run, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run, SCHEMA)

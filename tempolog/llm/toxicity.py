@@ -15,10 +15,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import slices, small_batches
+from .session import arrow_slices, schema_with, slices, small_batches, with_columns
 from .textkit import PUNCT, U, encoded, mix, words
 
 DIMS = 1 << 18
@@ -122,7 +123,8 @@ def _sampled(chosen: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", features: int = 4096, sample: int = 20_000, penalty: float = 1.0) -> Model:
     """A model from the labelled rows of `docs` (columns id_col and text; labels: id_col and toxic).
 
-    Labels that are null, or repeat an id with other values, are left out, as are null ids. At most
+    Labels that are null, or repeat an id with other values, are left out, as are null ids; of texts that repeat an id the
+    least counts. At most
     `sample` labelled rows, those with the least hashes of their ids, choose the `features` most telling features (3.5
     standard errors at least) and fit the weights.
     With labels of one class only or none, every text gets the same score.
@@ -137,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", features:
     if not toxic or not clean:
         return Model(np.zeros(DIMS, np.float32), 20.0 if toxic and not clean else -20.0 if clean else 0.0)
     wanted = F.broadcast(spark.createDataFrame(picked, "id bigint, y int"))
-    rows = text.join(wanted, "id")
+    # one text for an id that repeats, so that no id brings more rows than one
+    rows = text.join(wanted, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     counts = rows.mapInPandas(_counted, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # how far the feature's share among toxic rows lies from its share among clean ones, in standard errors
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
@@ -172,10 +175,9 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(batches, "text"):
-            s = score(shared.value, frame["text"])
-            yield frame.assign(score=s, predicted=(s >= threshold).astype("int32"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, "text"):
+            s = score(shared.value, batch["text"].to_pylist())
+            yield with_columns(batch, score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", score double, predicted int"
-    return keep.mapInPandas(run, schema)
+    return keep.mapInArrow(run, schema_with(keep, "score double, predicted int"))

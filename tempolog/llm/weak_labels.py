@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed, slices, small_batches
+from .session import arrow_slices, checkpointed, slices, small_batches
 from .textkit import U, encoded, mix, words
 from .textstats import measure
 
@@ -43,9 +44,10 @@ def votes(stats: pd.DataFrame) -> np.ndarray:
     return np.stack([np.where(cast(stats), vote, 0) for vote, cast in LABELLERS.values()], axis=1).astype(np.int8)
 
 
-def _voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in slices(batches, "text"):
-        yield pd.DataFrame(votes(measure(frame)), columns=list(LABELLERS)).assign(id=frame["id"].to_numpy())
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow_slices(batches, "text"):
+        cast = votes(measure(batch["text"].to_pylist()))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cast.T), batch["id"]], [*LABELLERS, "id"])
 
 
 class LabelModel:
@@ -79,9 +81,9 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def features(frame: pd.DataFrame, s: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str | None], s: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, dimension, value) of hashed word shapes (as shares of the words) and of statistics in steps."""
-    w = words([t.translate(SHAPES) for t in encoded(frame["text"])])
+    w = words([t.translate(SHAPES) for t in encoded(texts)])
     n = np.diff(w.offsets)
     row = np.repeat(np.arange(len(n)), n)
     key, first, count = np.unique(mix(w.hashes ^ mix(row.astype(np.uint64), 3), 4), return_index=True, return_counts=True)
@@ -98,7 +100,8 @@ def features(frame: pd.DataFrame, s: pd.DataFrame) -> tuple[np.ndarray, np.ndarr
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in slices(batches, "text"):
-        r, d, v = features(frame, measure(frame))
+        texts = frame["text"].to_list()
+        r, d, v = features(texts, measure(texts))
         order = np.argsort(r, kind="stable")
         at = np.searchsorted(r[order], np.arange(len(frame) + 1))
         yield pd.DataFrame({"y": frame["y"].to_numpy(), "dims": [d[order][a:b] for a, b in zip(at[:-1], at[1:], strict=True)], "values": [v[order][a:b] for a, b in zip(at[:-1], at[1:], strict=True)]})
@@ -133,7 +136,7 @@ def weak_quality(docs: DataFrame, sample: int = 8_000, keep: float = 0.5) -> Dat
     small_batches(spark)
     names = list(LABELLERS)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    stats = checkpointed(rows.mapInPandas(_voted, ", ".join(f"{n} tinyint" for n in names) + ", id bigint"))
+    stats = checkpointed(rows.mapInArrow(_voted, ", ".join(f"{n} tinyint" for n in names) + ", id bigint"))
     seen = stats.groupBy(*names).agg(F.count("*").alias("n")).toPandas()
     if seen.empty:
         return stats.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
@@ -142,7 +145,9 @@ def weak_quality(docs: DataFrame, sample: int = 8_000, keep: float = 0.5) -> Dat
 
     table = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, model.posterior(patterns), strict=True)], ", ".join(f"{n} tinyint" for n in names) + ", posterior double")
     picked = stats.join(F.broadcast(table), names).select("id", F.col("posterior").alias("y")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
-    got = rows.join(F.broadcast(picked), "id").select("id", "text", "y").mapInPandas(_featured, "y double, dims array<bigint>, values array<double>").toPandas()
+    # one text for an id that repeats, so that no id brings more rows than one
+    sampled = rows.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = sampled.mapInPandas(_featured, "y double, dims array<bigint>, values array<double>").toPandas()
     if len(got):
         owner = np.repeat(np.arange(len(got)), got["dims"].str.len())
         w, b = train_linear(owner, np.concatenate(got["dims"].to_list()), np.concatenate(got["values"].to_list()), got["y"].to_numpy())
@@ -150,12 +155,13 @@ def weak_quality(docs: DataFrame, sample: int = 8_000, keep: float = 0.5) -> Dat
         w, b = np.zeros(DIMS, np.float32), 0.0
     shared = spark.sparkContext.broadcast((w, b, model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, model = shared.value
-        for frame in slices(batches, "text"):
-            measured = measure(frame)
-            r, d, v = features(frame, measured)
-            score = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * w[d], len(frame)) + b, -30, 30)))
-            yield pd.DataFrame({"doc_id": frame["id"].to_numpy(), "posterior": model.posterior(votes(measured)), "score": score, "kept": score >= keep})
-
-    return rows.mapInPandas(run, "doc_id bigint, posterior double, score double, kept boolean")
+        for batch in arrow_slices(batches, "text"):
+            texts = batch["text"].to_pylist()
+            measured = measure(texts)
+            r, d, v = features(texts, measured)
+            score = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * w[d], len(texts)) + b, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(model.posterior(votes(measured))), pa.array(score), pa.array(score >= keep)], ["doc_id", "posterior", "score", "kept"])
+
+    return rows.mapInArrow(run, "doc_id bigint, posterior double, score double, kept boolean")

@@ -291,9 +291,3 @@ def test_html(source, text):
 def test_html_shows_all(source, text):
     assert "\n".join(x.lstrip(" ") for x in html_render.render(source).split("\n")) == text
 
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert len(corpus_pipeline.STAGES) == 5 and out.count() > 0 and out.filter("n_tokens <> size(ids)").count() == 0
