@@ -5,8 +5,8 @@ them one after another, each result written to the shared checkpoint folder. The
 classifier comes first); tests compare each stage's rows with a plain version.
 
 All stages but the last return the columns of documents (doc_id, text, lang, source, n_chars). The mix's row of a document
-that it takes several times, or in part, is a row for each use, and the order of training is position, use, doc_id;
-these two columns come along, as the last stage returns them too.
+that it takes several times, or in part, is a row for each use. The order of training is position, use, doc_id: the mix's
+rows are sorted so, and the first two of these columns come along to the end, as the last stage doesn't sort again.
 """
 
 from __future__ import annotations
@@ -60,10 +60,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, position, use, ids and n_tokens of every row, in training order."""
+    """doc_id, source, position, use, ids and n_tokens of every row; the order of training is that of position, use, doc_id."""
     place = [c for c in ("position", "use") if c in docs.columns]
     rows = bpe.encode(docs.select("doc_id", "source", "text", *place))
-    return rows.select("doc_id", "source", *place, "ids", F.size("ids").cast("bigint").alias("n_tokens")).orderBy(*place, "doc_id")
+    return rows.select("doc_id", "source", *place, "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
 STAGES = [

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,11 @@ def stitched(chunks: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]
     return out
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """`docs` with column ids: array<int>, the text's tokens as the tiktoken library's encode_ordinary gives them.
 
@@ -113,8 +119,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
         for batch in arrow_slices(batches, text_col):
-            ids = pa.array([c.encode(t) if t else [] for t in batch[text_col].to_pylist()], pa.list_(pa.int32()))
-            yield with_columns(batch, ids=ids)
+            yield with_columns(batch, ids=_lists([c.encode(t) if t else [] for t in batch[text_col].to_pylist()]))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
@@ -144,8 +149,10 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
         for batch in arrow_slices(batches, "text"):
-            ids = [c.encode(t) if i is None else i for t, i in zip(batch["text"].to_pylist(), batch["stitched"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(ids, pa.list_(pa.int32())), batch["times"]], ["row", "ids", "times"])
+            ids = batch["stitched"]
+            if ids.null_count:
+                ids = _lists([c.encode(t) if i is None else i for t, i in zip(batch["text"].to_pylist(), ids.to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch["row"], ids, batch["times"]], ["row", "ids", "times"])
 
     size = F.char_length(F.col(text_col))
     short = keep.filter(F.coalesce(size <= chunk, F.lit(True))).mapInArrow(whole, schema_with(keep, "ids array<int>"))

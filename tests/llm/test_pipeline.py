@@ -123,6 +123,8 @@ def test_mixing_stage(stages):
                 at += n
             use += 1
     got = [tuple(r) for r in after.collect()]
+    order = [(r[5], r[6], r[0]) for r in corpus_pipeline.mix_sources(before.sparkSession, before, SF).collect()]
+    assert order == sorted(order, key=key)
     assert sorted(((*r[:5], round(r[5], 9), r[6]) for r in got), key=key) == sorted(want, key=key)
     assert sum(len(WORD.findall(r[1])) for r in got) == sum(round(x) for x in goal.values())
 
@@ -142,8 +144,7 @@ def test_bpe_stage(stages):
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
-    order = [(r.position, r.use) for r in out.collect()]
-    assert order and order == sorted(order) and len(corpus_pipeline.STAGES) == 5
+    assert out.filter("position IS NOT NULL AND use >= 0 AND n_tokens > 0").count() == out.count() > 0 and len(corpus_pipeline.STAGES) == 5
 
 
 def awkward(spark, n_rows=None):
