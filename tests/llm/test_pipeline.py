@@ -124,7 +124,7 @@ def test_mixing_stage(stages):
             use += 1
     got = [tuple(r) for r in after.collect()]
     order = [(r[5], r[6], r[0]) for r in corpus_pipeline.mix_sources(before.sparkSession, before, SF).collect()]
-    assert order == sorted(order, key=key)
+    assert order == sorted(order, key=lambda x: (x[0], x[1], x[2] is not None, x[2]))
     assert sorted(((*r[:5], round(r[5], 9), r[6]) for r in got), key=key) == sorted(want, key=key)
     assert sum(len(WORD.findall(r[1])) for r in got) == sum(round(x) for x in goal.values())
 
