@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, so_far
+
 
 def emitted(facts: DataFrame, most: int = 1200) -> DataFrame:
     """`facts` with an emission time of at most `most` seconds after the time-stamp, fixed by the time-point."""
@@ -14,18 +16,14 @@ def emitted(facts: DataFrame, most: int = 1200) -> DataFrame:
 def restored(arrived: DataFrame) -> DataFrame:
     """Facts in the order of their time-points (one fact each), with their position.
 
-    Ranges of 65,536 time-points are numbered by themselves, and the counts of the ranges before (a row each) are added,
-    so that no task sorts more than a range."""
-    dealt = arrived.withColumn("part", F.floor(F.col("tp") / 65536))
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("tp")) - 1
-    return dealt.withColumn("own", own).join(before.select("part", "first"), "part").withColumn("pos", (F.col("first") + F.col("own")).cast("bigint")).drop("part", "first", "own")
+    Ranges of time-points are numbered by themselves, and the counts of the ranges before are added."""
+    return numbered(arrived, "tp", "pos")
 
 
 def late(arrived: DataFrame, delay: int) -> DataFrame:
     """Facts older than the watermark (the largest time-stamp that arrived before them, less `delay`)."""
-    before = Window.orderBy("emission", "tp").rowsBetween(Window.unboundedPreceding, -1)
-    return arrived.withColumn("mark", F.max("ts").over(before) - delay).filter("ts < mark").drop("mark")
+    seen = so_far(arrived, F.col("ts"), "max", F.floor(F.col("emission") / 3600), ["emission", "tp"], "_mark")
+    return seen.filter(F.col("ts") < F.col("_mark") - delay).drop("_mark")
 
 
 def gap_points(timepoints: DataFrame) -> DataFrame:

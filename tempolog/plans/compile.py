@@ -1,8 +1,9 @@
 """Policies to DataFrame plans.
 
 A formula becomes a table (tp, ts, one column for each free variable) without duplicates. Conjunctions are ordered so
-that relations come first; temporal conjuncts are joined to what is already there (the guard) on the shared variables with
-time as a further condition, never materialised over all time-points. Catalyst picks the join strategies.
+that relations come first. A temporal conjunct that brings no new variables is merged with what is already there (the
+guard) in the order of time, so that each row meets its nearest witness only; one with new variables is joined to it on
+the shared variables and buckets of time. Nothing is materialised over all time-points.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import PLACES, latest
 from ..sources.trace import Trace
 from .formula import INF, TRUE, Const, Formula, Interval, PolicyError, Var, neg, normalised, parse
 
@@ -71,10 +73,32 @@ class Compiler:
         return out
 
     def _safe(self, f: Formula) -> bool:
-        try:
-            self.sat(f)
-        except PolicyError:
-            return False
+        """Whether sat can evaluate a formula, told from the formula alone."""
+        if f.kind in ("pred", "true", "false"):
+            return True
+        if f.kind in ("exists", "previous", "next", "once", "eventually"):
+            return self._safe(f.args[0])
+        if f.kind == "or":
+            return set(f.args[0].variables()) == set(f.args[1].variables()) and all(map(self._safe, f.args))
+        if f.kind in ("since", "until"):
+            left, right = f.args
+            return set(left.variables()) <= set(right.variables()) and self._safe(neg(left) if left.kind == "not" else left) and self._safe(right)
+        if f.kind == "eq":
+            return sum(isinstance(t, Const) for t in f.terms) == 1
+        if f.kind == "not" and not f.variables():
+            return self._safe(f.args[0])
+        if f.kind != "and":
+            return not f.variables() and f.kind in ("historically", "always", "trigger", "release")
+        parts, bound = _flat(f), set()
+        start = [p for p in parts if p.kind in (*_RELATIONS, "or", *_WITNESSED) and self._safe(p)]
+        bound = set(_cols(start[0])) if start else set()
+        left = [p for p in parts if not start or p is not start[0]]
+        while left:
+            ready = [p for p in left if self._ready(p, bound) and (p.kind not in (*_RELATIONS, *_WITNESSED) or self._safe(p))]
+            if not ready:
+                return False
+            bound |= set(_cols(ready[0]))
+            left.remove(ready[0])
         return True
 
     def _ready(self, p: Formula, bound: set[str]) -> bool:
@@ -110,9 +134,9 @@ class Compiler:
                 return self._witness_guarded(guard, inner, "left_anti")
             return guard.join(self.sat(inner), ["tp", *own], "left_anti")
         if p.kind in ("historically", "always"):
-            body = neg(p.args[0])
-            if body.kind not in ("not", "eq", "less") or p.args[0].kind == "not":
-                dual = Formula("once" if p.kind == "historically" else "eventually", (body,), interval=p.interval)
+            body = p.args[0]
+            if body.kind in ("not", "eq", "less"):
+                dual = Formula("once" if p.kind == "historically" else "eventually", (neg(body),), interval=p.interval)
                 return self._witness_guarded(guard, dual, "left_anti")
             return self._throughout(guard, p)
         if p.kind in ("trigger", "release"):
@@ -208,26 +232,30 @@ class Compiler:
         key = _vars(p)
         if not set(key) <= set(names):
             raise PolicyError(f"free variables of the left side must occur on the right: {f}")
-        if negative:
-            # the nearest time-point beyond the witness where the left side's opposite holds
-            marked = q.select("tp", "ts", *names, F.lit(0).alias("k")).unionByName(p.select("tp", *key, F.lit(1).alias("k")), allowMissingColumns=True)
-            order = Window.partitionBy(*key).orderBy("tp")
-            hit = F.when(F.col("k") == 1, F.col("tp"))
-            near = F.min(hit).over(order.rangeBetween(1, Window.unboundedFollowing)) - 1 if past else F.max(hit).over(order.rangeBetween(Window.unboundedPreceding, -1)) + 1
-            return marked.withColumn("far", near).filter("k = 0").select(F.col("tp").alias("wtp"), F.col("ts").alias("wts"), "far", *names)
-        # runs of neighbouring time-points; each point of a run knows the run's end
-        runs = p.withColumn("run", F.col("tp") - F.row_number().over(Window.partitionBy(*key).orderBy("tp")))
-        end = (F.max if past else F.min)("tp").over(Window.partitionBy("run", *key))
-        ends = runs.select((F.col("tp") + (-1 if past else 1)).alias("tp"), end.alias("end"), *key)
+        sign = 1 if past else -1
+        at = F.col("tp") * sign
+        if negative or not key:
+            # the nearest time-point beyond the witness where the left side doesn't hold: the latest in reversed time
+            broken = p if negative else self.trace.timepoints.join(p, "tp", "left_anti")
+            out = latest(q, broken, key, -at - 1, -at, -at, PLACES, "near")
+            return out.select(F.col("tp").alias("wtp"), F.col("ts").alias("wts"), ((-F.col("near") - 1) * sign).cast("bigint").alias("far"), *names)
+        ends = self._runs(p, key, past).select((F.col("tp") - sign).alias("tp"), "end", *key)
         joined = q.join(ends, ["tp", *key], "left")
         return joined.select(F.col("tp").alias("wtp"), F.col("ts").alias("wts"), F.coalesce("end", "tp").alias("far"), *names)
 
+    def _runs(self, p: DataFrame, key: list[str], forward: bool) -> DataFrame:
+        """Each row of p with the last (or first) time-point of the run of neighbouring time-points that it lies in: column end."""
+        runs = p.withColumn("run", F.col("tp") - F.row_number().over(Window.partitionBy(*key).orderBy("tp")))
+        return runs.withColumn("end", (F.max if forward else F.min)("tp").over(Window.partitionBy("run", *key)))
+
     def _witness_guarded(self, guard: DataFrame, f: Formula, how: str = "inner") -> DataFrame:
         past, i = f.kind in _PAST, f.interval
         w = self._witnesses(f)
         bound, names = _vars(guard), _vars(w)
         if how != "inner" and not set(names) <= set(bound):
             raise PolicyError(f"unbound variables in {f}")
+        if set(names) <= set(bound):
+            return self._reached(guard, w, names, f, how == "left_anti")
         shared = [c for c in names if c in bound]
         w = w.select("wtp", "wts", "far", *[F.col(c).alias(f"w{c}") for c in names])
         sign = 1 if past else -1
@@ -236,39 +264,65 @@ class Compiler:
             on &= F.coalesce(F.col("tp") <= F.col("far") if past else F.col("tp") >= F.col("far"), F.lit(True))
         for c in shared:
             on &= F.col(c) == F.col(f"w{c}")
-        if not shared and not names and f.kind in ("once", "eventually") and i == Interval():
-            # the first (or last) witness of all decides
-            one = w.agg((F.min if past else F.max)("wtp").alias("wtp"))
-            out = guard.join(F.broadcast(one), F.col("wtp") <= F.col("tp") if past else F.col("wtp") >= F.col("tp"), how)
-            return out.select("tp", "ts", *bound)
-        if not shared and i.high is not INF:
-            # equal keys instead of a range join: a witness is dealt to the two or so buckets of time that it reaches
+        if i.high is not INF:
+            # time as a further equal key: a witness is dealt to the two or so buckets of time that it reaches
             width = i.high - i.low
             low, high = (F.col("wts") + i.low, F.col("wts") + i.high - 1) if past else (F.col("wts") - i.high + 1, F.col("wts") - i.low)
             w = w.withColumn("wbucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
             on &= F.floor(F.col("ts") / width) == F.col("wbucket")
-        if how != "inner":
-            return guard.join(w, on, how)
-        out = guard.join(w, on).select("tp", "ts", *bound, *[F.col(f"w{c}").alias(c) for c in names if c not in bound])
-        return out.distinct()
+        return guard.join(w, on).select("tp", "ts", *bound, *[F.col(f"w{c}").alias(c) for c in names if c not in bound]).distinct()
+
+    def _reached(self, guard: DataFrame, w: DataFrame, names: list[str], f: Formula, absent: bool) -> DataFrame:
+        """The rows of a guard that a witness with the same values reaches (or that none does).
+
+        Of the witnesses at the interval's near end or beyond it the nearest decides: it is inside the far end if any is, and
+        what holds since a further one holds since it too."""
+        i, sign = f.interval, 1 if f.kind in _PAST else -1
+        value = F.struct((F.col("wts") * sign).alias("s"), (F.col("wtp") * sign).alias("p"), (F.col("far") * sign).alias("far"))
+        if i.low:
+            at, when, width = F.col("ts") * sign, F.col("wts") * sign + i.low, min(i.high or 86400, 86400)
+        else:
+            at, when, width = F.col("tp") * sign, F.col("wtp") * sign, PLACES
+        out = latest(guard, w, names, at, when, value, width, "near")
+        holds = F.col("near").isNotNull()
+        if i.high is not INF:
+            holds &= F.col("ts") * sign - F.col("near.s") < i.high
+        if f.kind not in ("once", "eventually"):
+            holds &= F.coalesce(F.col("tp") * sign <= F.col("near.far"), F.lit(True))
+        return out.filter(~F.coalesce(holds, F.lit(False)) if absent else holds).select(*guard.columns)
 
     def _throughout(self, guard: DataFrame, f: Formula) -> DataFrame:
-        """HISTORICALLY and ALWAYS of a positive formula: as many of its time-points in the window as there are at all."""
-        past, body = f.kind == "historically", f.args[0]
-        bound = _vars(guard)
-
-        def counted(table: DataFrame, name: str) -> DataFrame:
-            dual = Formula("once" if past else "eventually", (Formula("given"),), interval=f.interval)
-            given = Compiler(self.trace)
-            given.sat = lambda g: table if g.kind == "given" else Compiler.sat(given, g)  # type: ignore[method-assign]
-            marked = table.withColumn("v__at", F.col("tp"))
-            given.sat = lambda g: marked  # type: ignore[method-assign]
-            return given._witness_guarded(guard, dual).groupBy("tp", *bound).agg(F.count("*").alias(name))
-
-        every = counted(self.trace.timepoints, "n_all")
-        held = counted(self.sat(body), "n_held")
-        out = guard.join(every, ["tp", *bound], "left").join(held, ["tp", *bound], "left")
-        return out.filter(F.coalesce("n_all", F.lit(0)) == F.coalesce("n_held", F.lit(0))).select("tp", "ts", *bound)
+        """HISTORICALLY and ALWAYS of a positive formula: the window's nearest time-point lies in a run that reaches its furthest.
+
+        Windows depend on the time-point only; they are found once for each and joined by equal time-points."""
+        past, i = f.kind == "historically", f.interval
+        p = self.sat(f.args[0])
+        key = _vars(p)
+        if not set(key) <= set(_vars(guard)):
+            raise PolicyError(f"unbound variables in {f}")
+        if not key:
+            dual = Formula("once" if past else "eventually", (Formula("not", (f.args[0],)),), interval=i)
+            return self._witness_guarded(guard, dual, "left_anti")
+        sign = 1 if past else -1
+        points = self.trace.timepoints
+        at, width, reversed_tp = F.col("ts") * sign, min(i.high or 86400, 86400), F.col("tp") * sign
+        window = points.withColumn("near", reversed_tp) if not i.low else latest(points, points, [], at, at + i.low, reversed_tp, width, "near")
+        if i.high is INF:
+            window = window.withColumn("beyond", F.lit(None).cast("bigint"))
+        else:
+            window = latest(window, points, [], at, at + i.high, reversed_tp, width, "beyond")
+        # without a time-point beyond the window reaches to the end of the trace
+        if past:
+            far = F.coalesce(F.col("beyond") + 1, F.lit(0))
+        else:
+            window = window.crossJoin(F.broadcast(points.agg((-F.max("tp")).alias("last"))))
+            far = F.coalesce(F.col("beyond") + 1, F.col("last"))
+        window = window.select("tp", (F.col("near") * sign).alias("near"), (far * sign).alias("far"))
+        runs = self._runs(p, key, not past).select(F.col("tp").alias("near"), "end", *key)
+        out = guard.join(window, "tp").join(runs, ["near", *key], "left")
+        empty = F.col("near").isNull() | ((F.col("near") - F.col("far")) * sign < 0)
+        held = (F.col("far") - F.col("end")) * sign >= 0
+        return out.filter(empty | F.coalesce(held, F.lit(False))).select(*guard.columns)
 
 
 def monitor(policy: str | Formula, trace: Trace, negate: bool = False, complete: bool = True) -> DataFrame:

@@ -17,6 +17,8 @@ POLICIES = [
     "q(x) AND HISTORICALLY [0,2) NOT p(x)", "PREV [0,2) p(x)", "NEXT [0,2) p(x)", "q(x) AND (p(x) OR ONCE [0,2) p(x))",
     "q(x) AND NOT ((NOT p(x)) SINCE [0,3) q(x))", "NOT (EXISTS x. p(x))", "q(x) AND NOT x = 1", "q(x) AND ONCE [0,3) p(y)",
     "q(x) AND FORALL y. (p(y) IMPLIES y < x)", "q(x) AND (p(x) TRIGGER [0,2) NOT p(x))",
+    "q(x) AND HISTORICALLY [1,*) p(x)", "q(x) AND ALWAYS [0,*) p(x)", "q(x) AND HISTORICALLY [0,3) (EXISTS y. p(y))", "q(x) AND ALWAYS [1,4) (EXISTS y. p(y))",
+    "q(x) AND ((EXISTS y. p(y)) SINCE [1,4) (EXISTS z. q(z)))", "q(x) AND NOT ((EXISTS y. p(y)) UNTIL [0,3) p(x))", "q(x) AND ((EXISTS y. p(y)) SINCE [0,*) p(y))",
 ]
 
 

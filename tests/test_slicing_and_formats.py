@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -41,6 +42,43 @@ def test_formats(spark):
     assert sorted((r.tp, r.ts, tuple(r.args)) for r in formats.read_verdicts(verdict).collect()) == [(1, 5, ()), (1002, 456, ("abc",)), (1002, 456, ("def",))]
 
 
+def lines_of(spark, *lines):
+    return spark.createDataFrame(list(enumerate(lines)), "pos int, value string")
+
+
+def read(spark, *lines, **options):
+    facts, points = formats.read_database_trace(lines_of(spark, *lines), **options)
+    return sorted((r.tp, r.ts, r.rel, tuple(r.args)) for r in facts.collect()), sorted(map(tuple, points.collect()))
+
+
+def test_databases_over_lines(spark):
+    """Databases span lines and share them; what can't be read goes as a whole."""
+    got = read(spark, "@123 @ 456 a b () ", ";", "@ 456 abc()() def1(123", ")", "", '(foo) def2([foo],"(bar)") ( a1 , " 2b ")', " @789")
+    assert got == ([(1, 456, "b", ()), (2, 456, "abc", ()), (2, 456, "abc", ()), (2, 456, "def1", ("123",)), (2, 456, "def1", ("foo",)), (2, 456, "def2", ("[foo]", "(bar)")), (2, 456, "def2", ("a1", " 2b "))], [(0, 123), (1, 456), (2, 456), (3, 789)])
+    assert read(spark, '@1 p(q) >foo "bar <" 123<', '@2 p("a@b") # @3 p()')[0] == [(0, 1, "p", ("q",)), (1, 2, "p", ("a@b",))]
+    for bad in ("@ @", "@123 foo(,)", "@123 foo(bar)("):
+        assert read(spark, bad, "@5 p()") == ([(0, 5, "p", ())], [(0, 5)])
+    with pytest.raises(Exception, match="can't read"):
+        read(spark, "@123 foo(,)", strict=True)
+    commands = formats.read_commands(lines_of(spark, ">foo<", '@1 p(q) >foo "bar <" 123<')).collect()
+    assert [(r.pos, r.name, r.args) for r in commands] == [(0, "foo", []), (1, "foo", ["bar <", "123"])]
+
+
+def test_csv_lines(spark):
+    lines = lines_of(spark, "", "  \t \r", "a,tp=1,ts=11", "ab, tp = 1, ts = 11, x = y", ";;", " cde , tp = 2 , ts = 11 , x =  y\r", "a, tp=2, ts=12, x=y, 123 = 4Foo56   ", "a, tp=3, ts=12", "abc", "abc, foo=bar", "abc, tp=1, ts=1, foo, bar", "abc, tp=x, ts=1")
+    assert [tuple(r) for r in formats.read_csv_trace(lines).collect()] == [(1, 11, "a", []), (1, 11, "ab", ["y"]), (2, 11, "cde", ["y"]), (2, 12, "a", ["y", "4Foo56"]), (3, 12, "a", [])]
+    with pytest.raises(Exception, match="can't read"):
+        formats.read_csv_trace(lines, strict=True).collect()
+    closed = lambda mode: {tuple(r) for r in formats.terminators(lines, mode).collect()}
+    assert closed("all") == {(4, 1, 11), (6, 2, 11), (7, 2, 12), (None, 3, 12)}
+    assert closed("timestamps") == {(4, 1, 11), (6, 2, 11), (None, 3, 12)}
+    assert closed("none") == {(4, 1, 11), (None, 3, 12)}
+    facts = spark.createDataFrame([(5, 1, "p", ["a"]), (9, 2, "q", [])], "tp bigint, ts bigint, rel string, args array<string>")
+    assert sorted(r.line for r in formats.write_csv_trace(facts, True, True).collect()) == [";;", ";;", "p, tp=0, ts=1, x0=a", "q, tp=1, ts=2"]
+    with pytest.raises(Exception, match="several events"):
+        formats.write_event_trace(facts.union(facts)).collect()
+
+
 def test_heavy_hitters(spark):
     facts = spark.createDataFrame([(i, i, "p", ["a" if i < 8 else str(i)]) for i in range(16)], "tp bigint, ts bigint, rel string, args array<string>")
     assert [(r.value, r["count"], r.total) for r in stats.heavy_hitters(facts, 60, 1, 2).collect()] == [("a", 8, 16)]
