@@ -42,15 +42,29 @@ def numbered(rows: DataFrame, order: str, name: str, then: Sequence[str | Column
     return out.withColumn(name, F.coalesce("_place", F.lit(0)).cast("bigint")).drop("_place")
 
 
+def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], left_bucket: Column, left_at: Column, right_bucket: Column, right_at: Column, value: Column) -> DataFrame:
+    """Both sides' rows, with _bucket, _time and _side (0 for the right, whose `value` is _it); null keys of the right go."""
+    side = right.dropna(subset=list(keys)) if keys else right
+    kind = right.select(value.alias("v")).schema["v"].dataType
+    own = left.select(*left.columns, left_bucket.alias("_bucket"), left_at.alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_it"))
+    other = [F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
+    return own.union(side.select(*other, right_bucket.alias("_bucket"), right_at.alias("_time"), F.lit(0).alias("_side"), value.alias("_it")))
+
+
 def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column, right_at: Column, value: Column, width: int, name: str) -> DataFrame:
     """`left` with column `name`: the largest `value` of the rows of `right` with equal keys and right_at <= left_at, else null.
 
     Both are merged in one order instead of being joined by a range. `width`: of the buckets of that order. Null keys match
-    nothing."""
-    side = right.dropna(subset=list(keys)) if keys else right
-    kind = right.select(value.alias("v")).schema["v"].dataType
-    own = left.select(*left.columns, left_at.alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_it"))
-    other = [F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
-    both = own.union(side.select(*other, right_at.alias("_time"), F.lit(0).alias("_side"), value.alias("_it")))
-    out = so_far(both, F.col("_it"), "max", F.floor(F.col("_time") / width), ["_time", "_side"], name, keys)
+    nothing. Both sides are evaluated twice."""
+    both = _merged(left, right, keys, F.floor(left_at / width), left_at, F.floor(right_at / width), right_at, value)
+    out = so_far(both.withColumnRenamed("_bucket", "_part"), F.col("_it"), "max", F.col("_part"), ["_time", "_side"], name, keys)
     return out.filter("_side = 1").select(*left.columns, name)
+
+
+def latest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column, right_at: Column, value: Column, place: Column, reach: tuple[Column, Column], width: int, name: str) -> DataFrame:
+    """`latest` where a row of the right side counts only for rows of the left whose `place` lies in its `reach` (both ends
+    included): others may be found or not. Rows of the right are dealt to the few buckets of places that they reach."""
+    low, high = (F.floor(x / width) for x in reach)
+    both = _merged(left, right.withColumn("_deal", F.explode(F.sequence(low, high))), keys, F.floor(place / width), left_at, F.col("_deal"), right_at, value)
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.max("_it").over(w)).filter("_side = 1").select(*left.columns, name)

@@ -71,7 +71,51 @@ def running(rows: DataFrame, value: str, by: str, order: str) -> DataFrame:
     return rows.withColumn("max_so_far", F.max(value).over(w)).withColumn("mean_so_far", F.avg(value).over(w))
 
 
-def sliding_frames(counts: DataFrame, frames: int, width: int) -> DataFrame:
-    """(start, rel, count) summed over the last `frames` windows."""
-    w = Window.partitionBy("rel").orderBy("start").rangeBetween(-(frames - 1) * width, 0)
-    return counts.select("start", "rel", F.sum("count").over(w).alias("count"))
+def sliding_frames(counts: DataFrame, frames: int, width: int, by: tuple[str, ...] = ("rel",)) -> DataFrame:
+    """(start, by..., count) summed over the last `frames` windows."""
+    w = Window.partitionBy(*by).orderBy("start").rangeBetween(-(frames - 1) * width, 0)
+    return counts.select("start", *by, F.sum("count").over(w).alias("count"))
+
+
+def value_frequency(facts: DataFrame, width: int = 60) -> DataFrame:
+    """(start, rel, attribute, value, count): how often each value occurs in each window."""
+    return attribute_values(windowed(facts, width)).groupBy("start", "rel", "attribute", "value").agg(F.count("*").alias("count"))
+
+
+def timepoint_frequency(timepoints: DataFrame, width: int = 60) -> DataFrame:
+    """(start, rel, count) of the relation without a name, which stands for the time-points."""
+    return windowed(timepoints, width).groupBy("start").agg(F.count("*").alias("count")).select("start", F.lit("").alias("rel"), "count")
+
+
+def split_statistics(lines: DataFrame, text: str = "line") -> DataFrame:
+    """(start, rel, count, attribute, value): the hitters of statistics lines, one a row; a relation without any has one row
+    with null attribute and value."""
+    parts = F.split(text, ";")
+    head = F.split(parts[0], ",")
+    hitters = F.flatten(F.transform(F.slice(parts, 2, 1 << 30), lambda p, i: F.transform(F.filter(F.split(p, ","), lambda v: v != ""), lambda v: F.struct(i.alias("attribute"), v.alias("value")))))
+    rows = lines.select(head[0].cast("bigint").alias("start"), head[1].alias("rel"), head[2].cast("bigint").alias("count"), F.explode_outer(hitters).alias("h"))
+    return rows.select("start", "rel", "count", "h.attribute", "h.value")
+
+
+def relation_sizes(hist: DataFrame) -> DataFrame:
+    """(rel, size) from a histogram; relations without arguments have no rows in one."""
+    return hist.groupBy("rel").agg(F.max("rel_cnt").alias("size"))
+
+
+def constant_sizes(names: list[str], size: float = 100.0) -> dict[str, float]:
+    """Sizes for planning without statistics."""
+    return dict.fromkeys(names, size)
+
+
+def sampled(facts: DataFrame, start: int, seconds: float = 4.5, least: int = 5, most: int = 25, seed: int = 1) -> DataFrame:
+    """A sample for a histogram: of the facts in `seconds` from `start` on, one in each `least` to `most`, on average."""
+    return facts.filter((F.col("ts") >= start) & (F.col("ts") < start + seconds)).sample(2 / (least + most), seed)
+
+
+def latency(markers: DataFrame) -> DataFrame:
+    """(second, peak, max_so_far, average_so_far) of markers (idx, sent, seen), which each parallel path sees once: a marker's
+    latency is that of the last path; peak is the largest in a second of arrival. One row for each second."""
+    one = markers.groupBy("idx").agg(F.max("seen").alias("seen"), F.max(F.col("seen") - F.col("sent")).alias("delay"))
+    per = one.groupBy(F.floor("seen").alias("second")).agg(F.max("delay").alias("peak"), F.sum("delay").alias("total"), F.count("*").alias("n"))
+    w = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.select("second", "peak", F.max("peak").over(w).alias("max_so_far"), (F.sum("total").over(w) / F.sum("n").over(w)).alias("average_so_far"))

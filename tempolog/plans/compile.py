@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.order import PLACES, latest
+from ..operators.order import PLACES, latest, latest_within
 from ..sources.trace import Trace
 from .formula import INF, TRUE, Const, Formula, Interval, PolicyError, Var, neg, normalised, parse
 
@@ -237,7 +237,12 @@ class Compiler:
         if negative or not key:
             # the nearest time-point beyond the witness where the left side doesn't hold: the latest in reversed time
             broken = p if negative else self.trace.timepoints.join(p, "tp", "left_anti")
-            out = latest(q, broken, key, -at - 1, -at, -at, PLACES, "near")
+            if f.interval.high is INF:
+                out = latest(q, broken, key, -at - 1, -at, -at, PLACES, "near")
+            else:
+                # what breaks after the interval has ended says nothing
+                ts, reach = F.col("ts") * sign, f.interval.high
+                out = latest_within(q, broken, key, -at - 1, -at, -at, ts, (ts - reach + 1, ts), reach, "near")
             return out.select(F.col("tp").alias("wtp"), F.col("ts").alias("wts"), ((-F.col("near") - 1) * sign).cast("bigint").alias("far"), *names)
         ends = self._runs(p, key, past).select((F.col("tp") - sign).alias("tp"), "end", *key)
         joined = q.join(ends, ["tp", *key], "left")
@@ -279,11 +284,12 @@ class Compiler:
         what holds since a further one holds since it too."""
         i, sign = f.interval, 1 if f.kind in _PAST else -1
         value = F.struct((F.col("wts") * sign).alias("s"), (F.col("wtp") * sign).alias("p"), (F.col("far") * sign).alias("far"))
-        if i.low:
-            at, when, width = F.col("ts") * sign, F.col("wts") * sign + i.low, min(i.high or 86400, 86400)
+        ts, wts = F.col("ts") * sign, F.col("wts") * sign
+        at, when = (ts, wts + i.low) if i.low else (F.col("tp") * sign, F.col("wtp") * sign)
+        if i.high is INF:
+            out = latest(guard, w, names, at, when, value, 86400 if i.low else PLACES, "near")
         else:
-            at, when, width = F.col("tp") * sign, F.col("wtp") * sign, PLACES
-        out = latest(guard, w, names, at, when, value, width, "near")
+            out = latest_within(guard, w, names, at, when, value, ts, (wts + i.low, wts + i.high - 1), i.high - i.low, "near")
         holds = F.col("near").isNotNull()
         if i.high is not INF:
             holds &= F.col("ts") * sign - F.col("near.s") < i.high

@@ -29,13 +29,19 @@ _TUPLE = rf"\(\s*(?:{_VALUE}\s*(?:,\s*{_VALUE}\s*)*)?\)"
 _DATABASE = rf"^\s*\d+(?:\s*[\w\[\]/:\-.!]+\s*(?:{_TUPLE}\s*)*)*\s*$"
 
 
+def _unquoted_split(c: Column, sign: str) -> Column:
+    """Cut at a sign that doesn't stand between quotes."""
+    return F.when(c.contains('"'), F.split(c, sign + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')).otherwise(F.split(c, sign))
+
+
 def _databases(lines: DataFrame, text: str, order: str) -> DataFrame:
     """(db, body) of a stream of lines: what stands between one @ and the next, a semicolon or a command, over any number of lines.
 
     Neither comments nor quoted values hold an @ that counts."""
-    body = F.regexp_replace(text, r'(?m)^((?:[^#"]|"[^"]*")*)#.*$', "$1")
-    body = F.regexp_replace(body, _COMMAND, ";")
-    pieces = lines.select(F.col(order).alias("line"), F.split(body, r'@(?=(?:[^"]*"[^"]*")*[^"]*$)').alias("pieces"))
+    plain = F.col(text)
+    body = F.when(plain.contains("#"), F.regexp_replace(text, r'(?m)^((?:[^#"]|"[^"]*")*)#.*$', "$1")).otherwise(plain)
+    body = F.when(body.contains(">"), F.regexp_replace(body, _COMMAND, ";")).otherwise(body)
+    pieces = lines.select(F.col(order).alias("line"), _unquoted_split(body, "@").alias("pieces"))
     pieces = so_far(pieces, F.size("pieces") - 1, "sum", F.floor(F.col("line") / PLACES), ["line"], "_before")
     pieces = pieces.select("line", F.coalesce("_before", F.lit(0)).alias("before"), F.posexplode("pieces").alias("i", "piece")).withColumn("db", F.col("before") + F.col("i") - 1)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "i", "piece"))), lambda x: x["piece"]), "\n")
@@ -47,7 +53,7 @@ def read_database_trace(lines: DataFrame, text: str = "value", order: str = "pos
 
     A database ends at the next @, at a semicolon, at a command or at the end, and may span lines. One that can't be read is
     left out as a whole, with its time-point; with `strict` the query fails."""
-    parts = _databases(lines, text, order).select("db", F.split("body", r';(?=(?:[^"]*"[^"]*")*[^"]*$)').alias("p"))
+    parts = _databases(lines, text, order).select("db", _unquoted_split(F.col("body"), ";").alias("p"))
     good = F.col("p")[0].rlike(_DATABASE) & ~F.exists(F.slice("p", 2, 1 << 30), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("can't read @"), F.array_join("p", ";"))).cast("boolean"))

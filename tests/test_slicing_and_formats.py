@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tempolog.operators import slicing, stats
+from tempolog.plans.compile import monitor
 from tempolog.plans.formula import parse
-from tempolog.sources import formats
+from tempolog.sources import formats, generate
+from tempolog.sources.trace import from_facts, read_signature
 
 
 def test_shares():
@@ -87,3 +89,38 @@ def test_heavy_hitters(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_slices_apart_and_together(spark):
+    policy = parse("(A(x,y) AND ONCE [0,9) B(y,z)) AND NOT ONCE [0,3) C(y)")
+    rows = [(i, i // 2, n, [f"v{(i * k + j) % 5}" for j in range(1 if n == "C" else 2)]) for i in range(40) for k, n in enumerate("ABC", 1) if (i + k) % 3]
+    facts = spark.createDataFrame(rows, "tp bigint, ts bigint, rel string, args array<string>")
+    points = spark.createDataFrame([(i, i // 2) for i in range(40)], "tp bigint, ts bigint")
+    sig = {"A": ("string", "string"), "B": ("string", "string"), "C": ("string",)}
+    want = sorted(map(tuple, monitor(policy, from_facts(facts, points, sig)).collect()))
+    for s in (slicing.Slicer.of(policy, {}, 8, {"y": ("v1", "v3")}), slicing.Slicer.fixed(policy, "x=2, z=3")):
+        assert sorted(map(tuple, s.verdicts(facts, points, sig).collect())) == want and want
+    assert slicing.Slicer.fixed(policy, "x=2,z=3").describe() == "heavy {}: x=2, y=1, z=3"
+    dealt = slicing.by_slice(slicing.Slicer.fixed(policy, "x=2,z=3").assign(facts), 6).select("slice", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(dealt) == 6 and all(r.slice == r.p for r in dealt)
+    with pytest.raises(ValueError):
+        slicing.Slicer.fixed(policy, "w=2")
+
+
+def test_decisions():
+    one, two = (slicing.Slicer.fixed(parse("A(x)"), f"x={n}") for n in (1, 2))
+    d = slicing.Decider(one, adapt_cost=100)
+    assert [d.step(two, 120, 60), d.step(two, 120, 60)] == [False, True] and d.current == two
+
+
+def test_generated_traces(spark):
+    rows = generate.pattern_trace(spark, "star", 20, 300, zipf={"w": 2.0}).filter("rel = 'A'").groupBy(F.col("args")[0]).count().agg(F.max("count"), F.sum("count")).first()
+    assert rows[0] > rows[1] / 4
+    trace = generate.signature_trace(spark, read_signature("p(int) q(int,string) r()"), 10, 100)
+    assert trace.count() == 1000 and {(r.rel, r.n) for r in trace.select("rel", F.size("args").alias("n")).distinct().collect()} == {("p", 1), ("q", 2), ("r", 0)}
+    late = generate.delayed(generate.partitioned(trace, (1.0, 3.0)), 2.0, 3.0).cache()
+    assert late.filter("emission < ts OR emission > ts + 3").count() == 0
+    marks = generate.watermarks(late, 2)
+    both = marks.select("part", F.col("emission").alias("at"), F.col("ts").alias("mark")).join(late, "part")
+    assert both.filter("emission >= at AND ts <= mark").count() == 0 and marks.count() > 2
+    assert {r.line for r in generate.start_lines(late).collect()} == {">START 0<"}
