@@ -3,7 +3,8 @@
 A tree builder reads the tags, opens and closes what HTML implies (a p ends before a block, an li before the next li, a
 cell or row before the next one, a row opens before a cell), and puts before a table what may not stand between its rows and
 cells. What isn't shown is left out: head matter, scripts, styles, templates, and elements hidden by the hidden attribute or
-inline style; aria-hidden hides nothing on screen. Of svg the texts are shown, of math all but annotations. A renderer then writes all visible text: blocks on lines of their own, paragraphs and
+inline style, and what a closed details element doesn't show; what is visible inside an invisible element is kept, and
+aria-hidden hides nothing on screen. Of svg the texts are shown, of math all but annotations. A renderer then writes all visible text: blocks on lines of their own, paragraphs and
 headings apart, list items with bullets or numbers by depth, preformatted text as it is, and table cells in columns.
 """
 
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from .session import arrow_slices, small_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
+#: An attribute: its name, and a value that is quoted as a whole or not at all; quotes inside an unquoted one are part of it.
+_VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s"'>][^\s>]*+))?)?+"""
+_ATTR = re.compile(rf"(=?[^\s/>=]++){_VALUE}", re.S)
+_PARTS_OF_TAG = _VALUE.replace("(", "(?:").replace("(?:?:", "(?:")
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++{_PARTS_OF_TAG}|=)*+)(?:>|\Z)""", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(\w+)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
@@ -73,6 +78,13 @@ def _hidden(tag: str, attrs: dict[str, str]) -> bool:
     return tag in HIDDEN or "hidden" in attrs or tag == "input" or tag == "dialog" and "open" not in attrs or bool(_HIDING.search(attrs.get("style", "")))
 
 
+def _shown(node: Node, inherited: bool) -> bool:
+    """Whether a node's own text is visible: children may be visible where their parent isn't."""
+    found = _VISIBILITY.findall(node.attrs.get("style", ""))
+    word = found[-1].lower() if found else ""
+    return False if word in ("hidden", "collapse") else True if word in ("visible", "initial") else inherited
+
+
 def build(source: str) -> Node:
     root = Node("html", {})
     stack = [root]
@@ -80,13 +92,11 @@ def build(source: str) -> Node:
     foreign = re.search("<(?:svg|math)", source, re.I) is not None
 
     def end(tags, beyond) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        i = len(stack) - 1
+        while i > 0 and stack[i].tag not in beyond:
             if stack[i].tag in tags:
                 del stack[i:]
-                return end(tags, beyond)
-            if stack[i].tag in beyond:
-                return None
-        return None
+            i -= 1
 
     def put(kid: Node | str) -> None:
         """Appends to the open element or, where a table doesn't take it, before the table."""
@@ -150,11 +160,13 @@ def build(source: str) -> Node:
                     if stack[i].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "thead", "tbody", "tfoot"):
                         break
             continue
-        attrs = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(m[2])} if m[2].strip(" /") else {}
+        attrs = {a.lower(): html.unescape(x or y or z) for a, x, y, z in reversed(_ATTR.findall(m[2]))} if m[2].strip(" /") else {}
         if tag in ("html", "body"):
             root.attrs |= attrs if tag == "html" else {}
             if tag == "body" and _hidden("body", attrs):
                 root.attrs["hidden"] = ""
+            if tag == "body" and "style" in attrs:
+                root.attrs["style"] = f"{root.attrs.get('style', '')};{attrs['style']}"
             if stack[-1].tag == "head":
                 stack.pop()
             continue
@@ -258,8 +270,12 @@ def _width(s: str) -> int:
 
 
 def _span(node: Node) -> int:
-    n = node.attrs.get("colspan", "1")
-    return min(max(1, int(n)), 1000) if n.isdigit() else 1
+    return _count(node, "colspan", 1000)
+
+
+def _count(node: Node, name: str, most: int) -> int:
+    n = node.attrs.get(name, "1").strip()
+    return min(max(1, int(n)), most) if n.isascii() and n.isdigit() and len(n) < 9 else 1
 
 
 def _rows(table: Node) -> Iterator[Node]:
@@ -271,22 +287,49 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from _rows(k)
 
 
-def _table(page: _Page, table: Node) -> None:
+def _inner_tables(root: Node) -> None:
+    """Renders each table that isn't hidden, the innermost first, and keeps its text with it: so tables nest to any depth."""
+    found: list[tuple[Node, bool]] = []
+    work: list[tuple[Node, bool]] = [(root, True)]
+    while work:
+        node, seen = work.pop()
+        if _hidden(node.tag, node.attrs) and node is not root:
+            continue
+        seen = _shown(node, seen)
+        if node.tag == "table":
+            found.append((node, seen))
+        work += [(k, seen) for k in node.kids if isinstance(k, Node)]
+    for table, seen in reversed(found):
+        page = _Page()
+        _table(page, table, seen)
+        table.attrs["\0text"] = page.done()
+
+
+def _table(page: _Page, table: Node, seen: bool) -> None:
     for k in table.kids:
         if isinstance(k, Node) and k.tag == "caption" or not isinstance(k, Node) and k.strip() or isinstance(k, Node) and k.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
             page.block(1)
-            _render(page, k)
+            _render(page, k, seen=seen)
     grid: list[list[tuple[int, list[str]]]] = []
+    below: dict[int, int] = {}  # columns that cells from above reach into, and how many rows further
     for tr in _rows(table):
-        row, at = [], 0
+        row, at, taken = [], 0, below
+        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        in_row = _shown(tr, seen)
         for cell in tr.kids:
             if isinstance(cell, str) and not cell.strip() or isinstance(cell, Node) and _hidden(cell.tag, cell.attrs):
                 continue
+            while at in taken:
+                at += 1
             inner = _Page()
-            for k in cell.kids if isinstance(cell, Node) and cell.tag in ("td", "th") else [cell]:
-                _render(inner, k)
+            is_cell = isinstance(cell, Node) and cell.tag in ("td", "th")
+            for k in cell.kids if is_cell else [cell]:
+                _render(inner, k, seen=_shown(cell, in_row) if is_cell else in_row)
             row.append((at, inner.done().split("\n")))
-            at += _span(cell) if isinstance(cell, Node) else 1
+            wide = _span(cell) if isinstance(cell, Node) else 1
+            if is_cell and (deep := _count(cell, "rowspan", 65534)) > 1:
+                below |= dict.fromkeys(range(at, at + wide), deep - 1)
+            at += wide
         grid.append(row)
     widths: dict[int, int] = {}
     for row in grid:
@@ -325,42 +368,46 @@ def _drawn(svg: Node) -> list[Node]:
     return out
 
 
-def _render(page: _Page, node: Node | str, pre: bool = False) -> None:
-    """Appends a node's visible text; without recursion on the depth of the tree but for tables."""
-    work: list = [("in", node, pre)]
+def _render(page: _Page, node: Node | str, pre: bool = False, seen: bool = True) -> None:
+    """Appends a node's visible text; without recursion, as the tables in it are rendered already."""
+    work: list = [("in", node, pre, seen)]
     lists: list[list] = []
     while work:
-        step, it, pre = work.pop()
+        step, it, pre, seen = work.pop()
         if step == "out":
             if it.tag in _LISTS:
                 lists.pop()
             if it.tag in ("li", "dd", "blockquote"):
                 page.indent, page.head = it.attrs["\0indent"], ""
-            if it.tag == "q":
+            if it.tag == "q" and seen:
                 page.text("”")
             if it.tag in BLOCKS:
                 page.block(1 + (it.tag in APART and not (it.tag in _LISTS and lists)))
             continue
         if isinstance(it, str):
-            page.raw(it) if pre else page.text(it)
+            if seen:
+                page.raw(it) if pre else page.text(it)
             continue
         tag = it.tag
         if _hidden(tag, it.attrs):
             continue
+        seen = _shown(it, seen)
         if tag == "br":
             page.flush()
             page.gap += 1
             continue
         if tag == "img":
-            page.text(it.attrs.get("alt", ""))
+            page.text(it.attrs.get("alt", "") if seen else "")
             continue
         if tag == "svg":
-            work += [x for k in reversed(_drawn(it)) for x in (("in", " ", False), ("in", k, False), ("in", " ", False))]
+            work += [("in", x, False, seen) for k in reversed(_drawn(it)) for x in (" ", k, " ")]
             continue
         if tag in BLOCKS:
             page.block(1 + (tag in APART and not (tag in _LISTS and lists)))
         if tag == "table":
-            _table(page, it)
+            if it.attrs["\0text"]:
+                page.block(1)
+                page.raw(it.attrs["\0text"])
             page.block(2)
             continue
         if tag in _LISTS:
@@ -376,17 +423,19 @@ def _render(page: _Page, node: Node | str, pre: bool = False) -> None:
                 page.head = f"{number}. " if own[0] == "ol" else "- "
             else:
                 page.indent += "  "
-        if tag == "q":
+        if tag == "q" and seen:
             page.text("“")
-        work.append(("out", it, pre))
+        work.append(("out", it, pre, seen))
         inner = pre or tag in ("pre", "textarea", "listing", "xmp")
         kids = it.kids
+        if tag == "details" and "open" not in it.attrs:  # closed, it shows its summary only
+            kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
         if tag == "semantics":  # of a formula's forms the first is shown
             first = next((i for i, k in enumerate(kids) if isinstance(k, Node)), 0)
             kids = kids[: first + 1]
         if tag == "pre" and kids and isinstance(kids[0], str):
             kids = [kids[0].removeprefix("\r").removeprefix("\n"), *kids[1:]]
-        work += [("in", k, inner) for k in reversed(kids)]
+        work += [("in", k, inner, seen) for k in reversed(kids)]
 
 
 def render(source: str | None) -> str:
@@ -396,14 +445,15 @@ def render(source: str | None) -> str:
     root = build(source)
     page = _Page()
     if "hidden" not in root.attrs and not _HIDING.search(root.attrs.get("style", "")):
+        _inner_tables(root)
         for k in root.kids:
-            _render(page, k)
+            _render(page, k, seen=_shown(root, True))
     return page.done()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Rows (id, text) with the visible text of every page, whole pages however long. Rows that repeat are each returned;
-    null and empty pages give empty texts; other columns aren't read; tables nest to any sensible depth."""
+    null and empty pages give empty texts; other columns aren't read; elements and tables nest to any depth."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

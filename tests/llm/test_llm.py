@@ -276,6 +276,17 @@ def test_html(source, text):
     assert html_render.render(source).lstrip(" ") == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<a title=don't>Hello</a> it's fine and more", "Hello it's fine and more"), ("<a title=\"x>y\" b='>' c>z</a>", "z"), ("<a href=x/>y</a>", "y"), ("<p a='b'c=\"d\" / =e>y", "y"),
+    ("<details><summary>s</summary><p>body</p></details>z", "s\nz"), ("<details open><summary>s</summary>body</details>z", "s\nbody\nz"),
+    ("<div style='visibility:hidden'>a<span style='visibility: visible'>b</span></div>c", "b\nc"), ("<body style='visibility:hidden'>a<p style='visibility:visible'>b</body>", "b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a  b\n   c  d"), ("<table><tr><td>x<td rowspan=3>a<tr><td>c<tr><td colspan=2>d<td>e</table>", "x  a\nc\nd    e"),
+    ("<table><tr><td>" * 1500 + "x", "x"), ("<div>" * 3000 + "y", "y"), ("<span title='" + "x" * 50, ""), ("<p a=1 a=2 hidden=no>x</p>y", "y"),
+])
+def test_html_attributes_and_nesting(source, text):
+    assert html_render.render(source) == text
+
+
 @pytest.mark.parametrize("source, text", [
     ("<table><tbody><form><tr><td>a<td>b</form></table>", "a  b"), ("<table><tbody><td>a<td>b<tr><td>c</table>", "a  b\nc"),
     ("<table><td>a<td>b</table>", "a  b"), ("<table><tr><form><td>a<td>b</table>", "a  b"),
