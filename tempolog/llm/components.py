@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import settled
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     of the join). Loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = settled(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = e.count()
     while size:
         both = e.union(e.select(F.col("b"), F.col("a")).toDF("a", "b"))
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        before, e = e, checkpointed(small.filter("a <> b").distinct())
+        before, e = e, settled(small.filter("a <> b").distinct())
         last, size = size, e.count()
         # as many edges, none of them new: nothing changed
         if size == last and e.join(before, ["a", "b"], "left_anti").isEmpty():

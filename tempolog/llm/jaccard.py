@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import arrow_slices, checkpointed, release, small_batches
+from .session import arrow_slices, settled, small_batches
 from .textkit import U, encoded, gram_sets, mix, words
 
 #: Pivots of a region in each further round; None: all members that aren't of its largest component.
@@ -207,7 +207,7 @@ def _members(rows: DataFrame, classes: DataFrame, shingle: int, rings: Rings) ->
     posted = rows.filter("id IS NOT NULL").mapInArrow(_posted(shingle, rings), "key bigint, alias bigint")
     shared = posted.select("*", F.min("alias").over(region).alias("a"), F.max("alias").over(region).alias("b")).filter("a < b").select("key", "alias").distinct()
     named = shared.join(classes, "alias").select("key", "node", "n", F.min(F.struct("node", "n")).over(region).alias("first"))
-    return checkpointed(named.select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    return settled(named.select("key", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
 
 
 def _first_pairs(members: DataFrame, classes: DataFrame, fits: str, near: Column) -> DataFrame:
@@ -215,7 +215,7 @@ def _first_pairs(members: DataFrame, classes: DataFrame, fits: str, near: Column
     pairs = members.filter("node <> pivot").filter(fits).select("node", "n", "pivot", "pivot_n").distinct()
     own = classes.select("node", "bits")
     pairs = pairs.join(own, "node").join(own.toDF("pivot", "pb"), "pivot").filter(near)
-    return checkpointed(pairs.select("node", "pivot"))
+    return settled(pairs.select("node", "pivot"))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fraction(8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,20 +234,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
     p, q = at_least.numerator, at_least.denominator
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rings = Rings(p, q)
-    signed = checkpointed(rows.mapInArrow(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
+    signed = settled(rows.mapInArrow(_signed(shingle), "id bigint, n bigint, sig binary, bits array<bigint>"))
 
     number = F.conv(F.substring(F.hex("sig"), 1, 10), 16, 10).cast("bigint")
-    classes = checkpointed(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", number.alias("alias"), "bits"))
+    classes = settled(signed.filter("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", number.alias("alias"), "bits"))
     members = _members(rows, classes.select("node", "n", "alias"), shingle, rings)
-    release(spark)
     texts = rows.filter("id IS NOT NULL").withColumnRenamed("id", "node")
 
     fits = lambda a, b: f"least({a}, {b}) * {q} >= greatest({a}, {b}) * {p}"
     apart = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("pb")[i])) for i in range(_WORDS))
     near = lambda a, b: apart * (p + q) <= (F.col(a) + F.col(b)) * (q - p)
     pairs = _first_pairs(members, classes, fits("n", "pivot_n"), near("n", "pivot_n"))
-    release(spark)
-    seen = checkpointed(_verified(texts, pairs, shingle))
+    seen = settled(_verified(texts, pairs, shingle))
     linked = lambda rows: rows.filter(f"shared * {q} >= joint * {p}").select("node", "pivot").distinct()
     labels = connected_components(linked(seen), "node", "pivot")
 
@@ -260,16 +258,15 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, at_least: Fraction = Fract
         known = labels.select("node", F.col("component").alias("label"))
         left = left.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
-        left = checkpointed(left.join(mixed, "key", "left_semi"))
-        release(spark)
+        left = settled(left.join(mixed, "key", "left_semi"))
         if left.isEmpty():
             break
         now = left.join(classes.select("node", "bits"), "node")
         chosen = _pivots(left, pivots).join(classes.select(F.col("node").alias("pivot"), F.col("bits").alias("pb")), "pivot")
         pairs = now.join(chosen, "key").filter("label <> pl").filter(fits("n", "pn")).filter(window).filter(near("n", "pn"))
         pairs = pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
-        pairs = checkpointed(pairs.join(seen, ["node", "pivot"], "left_anti"))
-        fresh = checkpointed(_verified(texts, pairs, shingle))
+        pairs = settled(pairs.join(seen, ["node", "pivot"], "left_anti"))
+        fresh = settled(_verified(texts, pairs, shingle))
         seen = seen.union(fresh)
         links = linked(fresh)
         if not links.isEmpty():

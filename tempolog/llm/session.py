@@ -23,6 +23,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`checkpointed`, and the shuffle files of all that came before may go."""
+    out = checkpointed(df)
+    del df
+    release(out.sparkSession)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds the rows of an Arrow batch, as texts are long. It holds for the session, and is never raised."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
