@@ -64,7 +64,8 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = ("size", "source_size", "target", "taken", "position", "start", "tilt")
     keep = docs.select(*[c for c in docs.columns if c.lower() not in added])
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = keep.select(F.struct("*").alias("row"), F.col(source_col).alias("s"), word_count(F.col(text_col)).alias("n"), key.alias("k")).withColumn("b", F.substring("k", 1, 3))
+    # by place instead of by name, so that no name clashes and columns that nobody asks for aren't shuffled
+    rows = keep.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep.columns)], F.col(source_col).alias("s"), word_count(F.col(text_col)).alias("n"), key.alias("k")).withColumn("b", F.substring("k", 1, 3))
     buckets = rows.groupBy("s", "b").agg(F.sum("n").alias("words"))
     targets = source_targets(buckets, "s", "words", weights, most, tilts).withColumnRenamed("source", "t")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -77,7 +78,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = F.greatest(F.lit(0), F.least(F.col("n"), goal - full * F.col("source_size") - F.col("start")))
     taken = (full * F.col("n") + part).cast("bigint")
     position = F.when(taken > 0, _position(F.col("start"), F.col("target"), F.col("tilt")))
-    return rows.select("row.*", F.col("n").alias("size"), "source_size", "target", taken.alias("taken"), position.alias("position"), "start", "tilt")
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep.columns)], F.col("n").alias("size"), "source_size", "target", taken.alias("taken"), position.alias("position"), "start", "tilt")
 
 
 def training_order(planned: DataFrame, text_col: str | None = None, tie: str | None = None) -> DataFrame:
