@@ -8,12 +8,15 @@ that each block knows all windows of its own positions, so a block bounds the me
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BITS = 21
 _BLOCK = 1 << 20
 _LOW = (1 << _BITS) - 1
+_MOST_RANGES = 1 << 18
 
 
 def _let(value: Column, use) -> Column:
@@ -111,27 +114,33 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = 8, window: in
     return docs.withColumn("fingerprint", chosen(F.col(text_col), k, window))
 
 
+def _longs(values: list[int]) -> Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def with_next(docs: DataFrame, rows_each: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
     """Rows (id, text, next, guest), next being the text of the next row by ascending id, and the window that found it.
 
     Rows without id come first; equal ids are ordered by text; after the last row comes the first that has an id. The ids
-    are cut at quantiles into ranges of about `rows_each` rows, at most 4096; the row that begins a range is also dealt,
+    are cut at quantiles into ranges of about `rows_each` rows (at most 2^18 ranges, so that the cuts, which go with the plan,
+    take 2 MB at most; beyond 2^18 * rows_each rows the ranges grow); the row that begins a range is also dealt,
     as a guest, to the range before, so that no task sees more than a range and nothing is sorted as a whole.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     count = base.select("id").agg(F.count("*").alias("n"), F.min("id").alias("least")).first()
-    ranges = max(1, min(4096, count["n"] // rows_each))
+    ranges = max(1, min(_MOST_RANGES, count["n"] // rows_each))
     cuts: list[int] = []
     if ranges > 1:
         steps = [i / ranges for i in range(1, ranges)]
         got = base.select(F.percentile_approx("id", steps, max(10_000, 4 * ranges))).first()[0] or []
         cuts = sorted({c for c in got if c > count["least"]})
-    pages = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
     if cuts:
-        # the page of 64 cuts first, then the place in it
-        page = F.size(F.filter(F.array(*[F.lit(p[0]) for p in pages]), lambda c: c <= F.col("id")))
-        within = F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in pages]), page)
-        place = F.when(F.coalesce(page, F.lit(0)) <= 0, 0).otherwise((page - 1) * 64 + F.size(F.filter(within, lambda c: c <= F.col("id"))))
+        # the page of cuts first, then the place in it; each list is one literal, however long
+        each = math.isqrt(len(cuts)) + 1
+        page = F.size(F.filter(_longs(cuts[::each]), lambda c: c <= F.col("id")))
+        within = F.slice(_longs(cuts), F.greatest(F.lit(0), page - 1) * each + 1, each)
+        place = F.when(F.coalesce(page, F.lit(0)) <= 0, 0).otherwise((page - 1) * each + F.size(F.filter(within, lambda c: c <= F.col("id"))))
         begins = F.exists(within, lambda c: c == F.col("id"))
         homes = F.when((page > 0) & begins, F.array(F.struct(place.alias("range"), F.lit(0).alias("guest")), F.struct((place - 1).alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(place.alias("range"), F.lit(0).alias("guest"))))
     else:

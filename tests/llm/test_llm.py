@@ -201,6 +201,17 @@ def test_edited_fingerprints(spark, texts):
     assert [r.edited for r in alone] == ["abcdefab"]
 
 
+@pytest.mark.parametrize("each", [1, 3, 50])
+def test_next_over_many_ranges(spark, each):
+    ids = [None, None, *random.Random(3).sample(range(-500, 500), 120)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string").repartition(5)
+    rows = winnowing.with_next(docs, each)[0].filter("guest = 0").collect()
+    order = sorted(i for i in ids if i is not None)
+    assert sorted(r.text for r in rows) == sorted(f"t{i}" for i in ids)
+    assert {r.id: r.next for r in rows if r.id is not None} == {i: f"t{j}" for i, j in zip(order, order[1:] + order[:1], strict=True)}
+    assert sorted(r.next for r in rows if r.id is None) == sorted(["tNone", f"t{order[0]}"])
+
+
 def test_mixing(spark):
     r = random.Random(0)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), f"s{min(i % 7, 3)}" if i % 11 else None) for i in range(300)] + [(None, None, "s0")] * 2
