@@ -32,10 +32,23 @@ g AS (
   SELECT a, url, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1) END AS target
   FROM t),
+r AS (
+  SELECT a, url, target, regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS query,
+    CASE WHEN starts_with(target, '/') THEN regexp_extract(target, '(?s)^([^?#]*)', 1)
+    ELSE coalesce(nullif(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1), ''), '/') || regexp_extract(target, '(?s)^([^?#]*)', 1) END AS whole
+  FROM (SELECT a, url, replace(target, '&amp;', '&') AS target FROM g)),
+d AS (
+  SELECT *, list_reduce(list_filter(string_split(whole, '/')[2:], lambda x: x <> '.'), lambda k, x: CASE WHEN x = '..' THEN regexp_replace(k, '(?s)/[^/]*$', '') ELSE k || '/' || x END, '')
+    || CASE WHEN regexp_matches(whole, '/\.\.?$') THEN '/' ELSE '' END AS plain
+  FROM r),
 f AS (
-  SELECT a, replace(CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
-    WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target END, '&amp;', '&') AS u
-  FROM g),
+  SELECT a, CASE WHEN target = '' OR starts_with(target, '#') THEN NULL
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    WHEN starts_with(target, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || target
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || plain || query END AS u
+  FROM d),
 e AS (
   SELECT a, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(u, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS b

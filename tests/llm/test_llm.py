@@ -5,12 +5,14 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from urllib.parse import urljoin, urlsplit
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempolog.llm import bpe, decision_list, html_render, jaccard, mixing, secrets, toxicity, url_filter, weak_labels, winnowing
+from tempolog.llm import bpe, decision_list, html_render, jaccard, mixing, queries, secrets, toxicity, url_filter, weak_labels, winnowing
 from tempolog.llm.components import connected_components
 from tempolog.llm.textstats import text_stats
 
@@ -277,6 +279,32 @@ def test_url_filter(spark):
     assert {r.id: r.verdict for r in url_filter.judge(pages, rules).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
 
 
+TARGETS = [
+    "b.html", "../b?x=1", "./c/./d/../e", "../../../../f", "?id=1", "#top", "mailto:a@b.c", "javascript:void(0)", "/path?u=http://x.org/", "/a/../b/..", "..", ".", "g/",
+    "//Other.net/y", "http://x.org/../z", "HTTPS://x.org", "?u=http://x.org", "b.html?c=../d#e", "x=1&amp;y", "b;c", "..b", "h..", "/", "g/.",
+]
+
+
+@pytest.mark.parametrize("url", ["http://a.com/p/q/r?s=t#u", "https://a.com", "http://a.com?k", "http://a.com/p/"])
+def test_relative_targets(spark, tmp_path, url):
+    """Targets against the standard library's joining of URLs, and the SQL's rows."""
+    rows = [(i, f"{url.split('?')[0].split('#')[0]}{'' if url.count('/') > 2 else '/'}{i}/w?s=t" if i else url, f'<link rel="canonical" href="{t}">') for i, t in enumerate(TARGETS)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    edges = {(r.a, r.b) for r in url_filter.canonical_edges(pages).collect()}
+    plain = lambda u: (lambda x: x.netloc.lower() + x.path + ("?" + x.query if x.query else ""))(urlsplit(u))
+    want = {(plain(u), plain(t if "http" in t.lower()[:4] else urljoin(u, t.replace("&amp;", "&")))) for (_, u, _), t in zip(rows, TARGETS, strict=True) if t[0] != "#" and not re.match("mailto:|javascript:", t)}
+    assert edges == want
+    # empty segments stay, which the standard library takes out
+    doubled = pages.limit(1).select(F.col("url"), F.lit('<link rel="canonical" href="a//b">').alias("html"))
+    assert [r.b for r in url_filter.canonical_edges(doubled).collect()] == [plain(urljoin(url, "a/b")).replace("a/b", "a//b")]
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op1_url_filters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    sql = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['op1_url_filters']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(sql, key=repr)
+
+
 @pytest.mark.parametrize("source, text", [
     (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>One<p>Two", "One\n\nTwo"), ("a<br>b", "a\nb"),
     ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c"), ("<div style='display: none'>x</div>y", "y"),
