@@ -262,8 +262,16 @@ class Compiler:
         if set(names) <= set(bound):
             return self._reached(guard, w, names, f, how == "left_anti")
         shared = [c for c in names if c in bound]
+        columns = ["tp", "ts", *bound, *[F.col(f"w{c}").alias(c) for c in names if c not in bound]]
         w = w.select("wtp", "wts", "far", *[F.col(c).alias(f"w{c}") for c in names])
         sign = 1 if past else -1
+        if f.kind in ("once", "eventually") and i.high is not INF:
+            # spans of an assignment don't overlap: the result, which may be far larger than both sides, has no duplicates
+            w = self._spans(w, [f"w{c}" for c in names], i, sign)
+            on = (F.floor(F.col("ts") / (i.high - i.low)) == F.col("wbucket")) & F.col("ts").between(F.col("wfirst"), F.col("wlast")) & (F.col("tp") * sign >= F.col("wfrom"))
+            for c in shared:
+                on &= F.col(c) == F.col(f"w{c}")
+            return guard.distinct().join(w, on).select(*columns)
         on = (F.col("wtp") <= F.col("tp") if past else F.col("wtp") >= F.col("tp")) & self._within((F.col("ts") - F.col("wts")) * sign, i)
         if f.kind not in ("once", "eventually"):
             on &= F.coalesce(F.col("tp") <= F.col("far") if past else F.col("tp") >= F.col("far"), F.lit(True))
@@ -275,7 +283,30 @@ class Compiler:
             low, high = (F.col("wts") + i.low, F.col("wts") + i.high - 1) if past else (F.col("wts") - i.high + 1, F.col("wts") - i.low)
             w = w.withColumn("wbucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
             on &= F.floor(F.col("ts") / width) == F.col("wbucket")
-        return guard.join(w, on).select("tp", "ts", *bound, *[F.col(f"w{c}").alias(c) for c in names if c not in bound]).distinct()
+        return guard.join(w, on).select(*columns).distinct()
+
+    def _spans(self, w: DataFrame, names: list[str], i: Interval, sign: int) -> DataFrame:
+        """The time that witnesses reach by ONCE or EVENTUALLY, for each assignment and bucket of time: spans that don't overlap
+        (wfirst to wlast), with the least of their witnesses' time-points (of the negative ones for the future) as wfrom.
+
+        Buckets are as wide as a witness's reach, which so either lasts to the bucket's end or began before it: running values
+        from both sides give the witnesses of each span, in whatever order time-stamps come."""
+        width = i.high - i.low
+        first = F.col("wts") + i.low if sign > 0 else F.col("wts") - i.high + 1
+        w = w.select(*names, (F.col("wtp") * sign).alias("p"), first.alias("first"))
+        w = w.withColumn("wbucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + width - 1) / width))))
+        start = F.col("wbucket") * width
+        lasts = F.col("first") >= start
+        w = w.select("*", F.when(lasts, F.col("first")).otherwise(F.col("first") + width).alias("at"), F.when(lasts, F.col("p")).alias("begun"), F.when(~lasts, F.col("p")).alias("ending"))
+        key = Window.partitionBy(*names, "wbucket")
+        order = key.orderBy("at")
+        begun, ending = F.min("begun"), F.min("ending").over(key.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        before = begun.over(order.rowsBetween(Window.unboundedPreceding, -1))
+        w = w.select("*", F.lag("at").over(order).alias("left"), F.lead("at").over(order).alias("right"), F.least(before, ending).alias("up_to"), F.least(before, F.col("begun")).alias("after"))
+        # each row ends a span at its place; the bucket's last one begins another
+        ends = F.struct(F.coalesce("left", start).alias("wfirst"), (F.col("at") - 1).alias("wlast"), F.col("up_to").alias("wfrom"))
+        begins = F.struct(F.col("at").alias("wfirst"), (start + width - 1).alias("wlast"), F.when(F.col("right").isNull(), F.col("after")).alias("wfrom"))
+        return w.select(*names, "wbucket", F.inline(F.array(ends, begins))).filter("wfirst <= wlast AND wfrom IS NOT NULL")
 
     def _reached(self, guard: DataFrame, w: DataFrame, names: list[str], f: Formula, absent: bool) -> DataFrame:
         """The rows of a guard that a witness with the same values reaches (or that none does).

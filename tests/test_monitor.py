@@ -83,3 +83,27 @@ def test_unsafe(spark):
         with pytest.raises(PolicyError):
             monitor(text, trace)
     assert monitor("p(x)", trace).count() == 0
+
+
+def test_new_variables_without_duplicates(spark):
+    """What ONCE and EVENTUALLY bring is not made distinct afterwards (it may be far larger than the trace), nor does it repeat."""
+    r = random.Random(3)
+    ts = [r.choice([*range(-4, 9), None]) for _ in range(40)]
+    points = [(i, t) for i, t in enumerate(ts)] + [(5, ts[5])]
+    rows = [(i, ts[i], n, [None if x == 3 else str(x)]) for i in range(40) for n in "pq" for x in range(4) if r.random() < 0.3]
+    facts = spark.createDataFrame(rows + rows[:9], "tp bigint, ts bigint, rel string, args array<string>")
+    trace = from_facts(facts, spark.createDataFrame(points, "tp bigint, ts bigint"), read_signature("p(x:int) q(int)"))
+    for low, high in ((0, 3), (2, 7)):
+        for word, sign in (("ONCE", 1), ("EVENTUALLY", -1)):
+            known = [(i, t) for i, t in enumerate(ts) if t is not None]
+            meets = {(i, j) for i, t in known for j, s in known if (i - j) * sign >= 0 and low <= (t - s) * sign < high}
+            value = lambda x: x[0] and int(x[0])
+            p, q = ([(i, value(x)) for i, _, n, x in rows if n == name] for name in "pq")
+            alone = {(i, ts[i], x) for j, x in p for i, k in meets if k == j}
+            joined = {(i, ts[i], y, x) for j, x in p for i, y in q if (i, j) in meets}
+            for text, want in ((f"{word} [{low},{high}) p(x)", alone), (f"q(y) AND {word} [{low},{high}) p(x)", joined)):
+                out = monitor(text, trace)
+                got = [tuple(x) for x in out.collect()]
+                assert len(got) == len(set(got)) and set(got) == want, text
+                plan = out._jdf.queryExecution().optimizedPlan().toString()
+                assert "Join" in plan and "Aggregate" not in plan.split("Join")[0], text
