@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempolog.llm import bpe, jaccard, mixing, secrets, toxicity
-from tempolog.llm.session import checkpointed
+from tempolog.llm.session import checkpointed, release, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,6 +26,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity score stays under 0.7; labels are those of the documents table."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
+    release(spark)
     return toxicity.scored(docs.select(*COLUMNS), model, 0.7).filter("predicted = 0").select(*COLUMNS)
 
 
@@ -38,7 +39,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     keyed = docs.select(*COLUMNS, key.alias("key"))
     groups = jaccard.jaccard_groups(keyed, 5, Fraction(8, 10), id_col="key")
-    kept = groups.filter("n_shingles > 0 AND id = component_id").select(F.col("id").alias("key")).distinct()
+    # by itself, so that the driver doesn't hold the plans, tasks and shuffles of the groups and of the texts at once
+    kept = settled(groups.filter("n_shingles > 0 AND id = component_id").select(F.col("id").alias("key")).distinct())
     # two texts whose keys collide both stay
     one = keyed.join(kept, "key", "left_semi").groupBy("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
     wordless = docs.filter(~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))).select(*COLUMNS)

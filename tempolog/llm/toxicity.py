@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -102,6 +101,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sampled(chosen: np.ndarray):
+    """A row's chosen features, and its (sentence, feature, sign) differences, as 32-bit integers in bytes: the driver collects them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(batches, "text"):
             r, f = present(frame["text"], chosen)
@@ -114,8 +115,8 @@ def _sampled(chosen: np.ndarray):
                     if other is not None:
                         one, two = (set(present([z], chosen)[1].tolist()) for z in (x, other))
                         own += [(i, k, 1) for k in sorted(one - two)] + [(i, k, -1) for k in sorted(two - one)]
-                gaps.append(np.array(own, np.int64).ravel())
-            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "feats": [f[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], "gaps": gaps})
+                gaps.append(np.array(own, np.int32).tobytes())
+            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "feats": [f[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], "gaps": gaps})
 
     return run
 
@@ -148,17 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", features:
     best = counts.filter("toxic + clean >= 3").select("feature", gap.alias("gap")).filter("gap >= 3.5").orderBy(F.desc("gap"), "feature").limit(features).toPandas()
     chosen = np.zeros(DIMS, bool)
     chosen[best["feature"].to_numpy(np.int64)] = True
-    got = rows.mapInPandas(_sampled(chosen), "id bigint, y int, feats array<bigint>, gaps array<bigint>").toPandas().sort_values("id", kind="stable").reset_index(drop=True)
+    got = rows.mapInPandas(_sampled(chosen), "id bigint, y int, feats binary, gaps binary").toPandas().sort_values("id", kind="stable").reset_index(drop=True)
     at = np.flatnonzero(chosen)
     strength = np.zeros(DIMS)
     strength[best["feature"].to_numpy(np.int64)] = best["gap"].to_numpy(float)
     scale = strength[at] / max(1e-9, strength.max())
     local = np.zeros(DIMS, np.int64)
     local[at] = np.arange(len(at))
-    feats = np.fromiter(chain.from_iterable(got["feats"]), np.int64)
-    r = np.repeat(np.arange(len(got)), got["feats"].str.len())
-    own = np.repeat(np.arange(len(got)), got["gaps"].str.len() // 3)
-    gaps = np.fromiter(chain.from_iterable(got["gaps"]), np.int64).reshape(-1, 3)
+    feats = np.frombuffer(b"".join(got["feats"]), np.int32)
+    r = np.repeat(np.arange(len(got)), got["feats"].map(len) // 4)
+    own = np.repeat(np.arange(len(got)), got["gaps"].map(len) // 12)
+    gaps = np.frombuffer(b"".join(got["gaps"]), np.int32).reshape(-1, 3)
     names, pair = np.unique(np.stack([own, gaps[:, 0]]), axis=1, return_inverse=True) if len(gaps) else (np.zeros((2, 0)), np.zeros(0, np.int64))
     w, b = fit(scale, r, local[feats], got["y"].to_numpy(float), (pair.ravel(), local[gaps[:, 1]], gaps[:, 2].astype(float), names.shape[1]), penalty)
     weights = np.zeros(DIMS, np.float32)
